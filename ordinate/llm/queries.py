@@ -7,6 +7,8 @@ import importlib
 #: Query name and the module with the function of that name.
 _MODULES = {
     "op1_bpe": "bpe",
+    "op8_line_dedup": "line_dedup",
+    "op10_language_id": "language",
 }
 
 
@@ -15,4 +17,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup
+
+    return {"op8_line_dedup": line_dedup.OP8_SQL}
