@@ -3,8 +3,9 @@
 Every language has a raw-content zstandard dictionary made of sample texts; a
 text is compressed with each, and the language whose dictionary makes it
 smallest is chosen. Texts are folded to lower-case letters and single spaces
-first. Where the two best languages are within ``MARGIN`` of each other the
-choice is marked ``rejected``, but still named.
+first. Where the two best languages are within ``NARROW`` of each other the text
+is encoded again with a deeper match search; where that leaves them within
+``MARGIN`` the choice is marked ``rejected``, but still named.
 
 The dictionaries are fitted on at most ``SAMPLE_DOCS`` training documents of
 each language (those with the smallest hash of id), ``DICT_BYTES`` in all.
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 from .common import as_batch, crc_bucket, sliced
 
 #: Bounds of the fitted sample.
-SAMPLE_DOCS, DICT_BYTES, DOC_BYTES = 200, 98_304, 4_096
-LEVEL, MARGIN, TEMPERATURE = 3, 0.01, 24.0
+SAMPLE_DOCS, DICT_BYTES, DOC_BYTES = 400, 65_536, 1_024
+NARROW, MARGIN, TEMPERATURE = 0.06, 0.005, 24.0
+#: Both searches keep matches of four bytes, about a syllable.
+_COMMON = {"window_log": 19, "hash_log": 16, "min_match": 4, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+QUICK = _COMMON | {"strategy": zstandard.STRATEGY_GREEDY, "chain_log": 16, "search_log": 2}
+DEEP = _COMMON | {"strategy": zstandard.STRATEGY_BTLAZY2, "chain_log": 17, "search_log": 3}
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -57,12 +62,22 @@ def fit(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text
 
 @functools.lru_cache(maxsize=2)
 def _compressors(model: tuple) -> list:
-    out = []
-    for lang, data in model:
+    """(language, quick compressor, deep compressor), as in ``model``."""
+
+    def made(data: bytes, settings: dict) -> zstandard.ZstdCompressor:
         content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(level=LEVEL)
-        out.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)))
-    return out
+        parameters = zstandard.ZstdCompressionParameters(**settings)
+        content.precompute_compress(compression_params=parameters)
+        return zstandard.ZstdCompressor(compression_params=parameters, dict_data=content)
+
+    return [(lang, made(data, QUICK), made(data, DEEP)) for lang, data in model]
+
+
+def _ranked(sizes: list[int]) -> tuple[int, float]:
+    """The smallest's place and how far behind the second is, by its own size."""
+    best = min(range(len(sizes)), key=sizes.__getitem__)
+    second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
+    return best, (second - sizes[best]) / second
 
 
 def classify(text: str | None, compressors: list) -> tuple[str, float, bool]:
@@ -71,11 +86,13 @@ def classify(text: str | None, compressors: list) -> tuple[str, float, bool]:
     if not compressors or not any(map(str.isalpha, letters)):
         return "und", 0.0, True
     data = f"{letters} ".encode("utf-8", "replace")
-    sizes = [len(c.compress(data)) for _, c in compressors]
-    best = min(range(len(sizes)), key=sizes.__getitem__)
-    second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
+    sizes = [len(quick.compress(data)) for _, quick, _ in compressors]
+    best, margin = _ranked(sizes)
+    if margin < NARROW:
+        sizes = [len(deep.compress(data)) for _, _, deep in compressors]
+        best, margin = _ranked(sizes)
     score = 1 / sum(math.exp((sizes[best] - s) * 8 / TEMPERATURE) for s in sizes)
-    return compressors[best][0], score, (second - sizes[best]) < MARGIN * second
+    return compressors[best][0], score, margin < MARGIN
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
