@@ -7,6 +7,8 @@ import importlib
 #: Query name and the module with the function of that name.
 _MODULES = {
     "op1_bpe": "bpe",
+    "op6_decontaminate": "decontaminate",
+    "op7_toxicity": "toxicity",
     "op8_line_dedup": "line_dedup",
     "op10_language_id": "language",
 }
