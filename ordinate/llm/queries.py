@@ -7,6 +7,8 @@ import importlib
 #: Query name and the module with the function of that name.
 _MODULES = {
     "op1_bpe": "bpe",
+    "op3_warc": "warc",
+    "op5_html_text": "html_text",
     "op6_decontaminate": "decontaminate",
     "op7_toxicity": "toxicity",
     "op8_line_dedup": "line_dedup",
@@ -19,6 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup
+    from . import line_dedup, warc
 
-    return {"op8_line_dedup": line_dedup.OP8_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
