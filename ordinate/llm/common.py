@@ -61,3 +61,42 @@ def large_or_small(array: pa.Array) -> pa.Array:
 
 def list_array(values, offsets, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+#: Bits of the fixed-size filter of ids that ``narrowed`` sends to all tasks (1 MB as a table of 65,536 rows).
+ID_FILTER_BITS = 1 << 22
+
+
+def narrowed(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The ``rows`` whose ``column`` is in ``ids`` (of one column so named).
+
+    Before the exact semi join shuffles ``rows``, a Bloom filter of fixed size,
+    made of ``ids`` by bit-wise aggregation, drops most rows that can't match.
+    """
+    place = F.pmod(F.xxhash64(F.lit(7), F.col(column)), F.lit(ID_FILTER_BITS))
+    words = ids.select(place.alias("__p")).select(F.shiftright("__p", 6).alias("__word"), F.expr("shiftleft(1L, cast(__p & 63 as int))").alias("__bit"))
+    bits = words.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    near = rows.withColumn("__p", place).withColumn("__word", F.shiftright("__p", 6)).join(F.broadcast(bits), "__word").filter("(shiftright(__bits, cast(__p & 63 as int)) & 1) = 1")
+    return near.drop("__p", "__word", "__bits").join(ids.distinct(), column, "left_semi")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node that each node of ``edges`` (a, b) reaches.
+
+    Alternating large and small stars; each round's edges are written, so that
+    neither links nor components come to the driver, only their count and a sum
+    of hashes, which stand still once every node hangs on its root.
+    """
+    current = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    before = None
+    while True:
+        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        current = written(small, "edges")
+        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = state

@@ -7,6 +7,7 @@ import importlib
 #: Query name and the module with the function of that name.
 _MODULES = {
     "op1_bpe": "bpe",
+    "op2_ngram_join": "ngram_join",
     "op3_warc": "warc",
     "op5_html_text": "html_text",
     "op6_decontaminate": "decontaminate",
