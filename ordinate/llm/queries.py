@@ -9,10 +9,12 @@ _MODULES = {
     "op1_bpe": "bpe",
     "op2_ngram_join": "ngram_join",
     "op3_warc": "warc",
+    "op4_lm_scores": "suffix_tree",
     "op5_html_text": "html_text",
     "op6_decontaminate": "decontaminate",
     "op7_toxicity": "toxicity",
     "op8_line_dedup": "line_dedup",
+    "op9_ann": "ann",
     "op10_language_id": "language",
 }
 
