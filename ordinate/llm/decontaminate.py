@@ -170,7 +170,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, *, flag_col: str = "__held",
         def run(batches, shared=shared):
             matcher = Matcher(shared.value)
             for batch in sliced(batches, 512):
-                held = [h or bool(matcher.held(t)) for t, h in zip(batch.column(at).to_pylist(), batch.column(flag).to_pylist())]
+                held = [h or bool(matcher.held(t)) for t, h in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, pa.bool_())], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)

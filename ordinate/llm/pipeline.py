@@ -1,11 +1,70 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns
+what it keeps of ``docs``, with the columns of ``docs``; the last returns ids.
 
-STAGES: list = []
+Rows with a null id pass the n-gram stage: they can't be named as the one of
+their group that stays. Rows that repeat an id are one document there, of which
+the row with the least text stays. Null texts pass all stages and are encoded as
+the empty text. Tables without rows give results without rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import bpe, decontaminate, line_dedup, ngram_join, toxicity
+from .common import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under the threshold."""
+    model = toxicity.fit(docs, toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.scored(docs, model, score_col="__score").filter(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that many hold; ``n_chars`` follows the text."""
+    kept = line_dedup.drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the smallest id."""
+    stay = ngram_join.similar(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    kept = docs.filter("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.flagged(docs, benchmark).filter(~F.col("__held")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, counted and digested, and the digest of their bytes."""
+    import public_tokenizers
+
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("byte-level BPE", encode),
+]
+#: SQL can express neither the toxicity scores nor the edit matching.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
