@@ -80,23 +80,46 @@ def narrowed(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return near.drop("__p", "__word", "__bits").join(ids.distinct(), column, "left_semi")
 
 
+_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _forest(batches):
+    """Each batch's edges, as stars of what they connect."""
+    for batch in batches:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = above[up]
+                x = above[x]
+            return x
+
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                above[max(u, v)] = min(u, v)
+        stars = [(x, r) for x in list(above) if (r := root(x)) != x]
+        if stars:
+            yield as_batch(_EDGES, *(list(x) for x in zip(*stars)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that each node of ``edges`` (a, b) reaches.
 
-    Alternating large and small stars; each round's edges are written, so that
-    neither links nor components come to the driver, only their count and a sum
-    of hashes, which stand still once every node hangs on its root.
+    Alternating large and small stars, after each batch of edges has been made
+    stars by itself. Each round's edges are written; neither links nor
+    components come to the driver, only whether all of them are stars yet.
     """
-    current = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
+    edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
+    current = written(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     while True:
+        ends = current.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(current.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)")
+        if open_ends.isEmpty():
+            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        current = written(small, "edges")
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v")
+        current = written(small.distinct(), "edges")

@@ -18,9 +18,10 @@ is accumulated over column ranges, and a pair is dropped as soon as the rest
 can't reach the bound.
 
 Large groups. Pairs within a group of equal digests aren't all made: each class
-meets the group's first class; what links then is one component, and only pairs
-of different components are made after that. No link between components can be
-lost, and a group of near copies costs its size, not its square.
+first meets one class of its group, ``TURNS`` times another one; what links then
+is one component, and only pairs of different components are made after that. No
+link between components can be lost, and a group of near copies costs its size,
+not its square.
 
 Defined results: words are lower-cased (A-Z only) runs of what isn't ASCII white
 space. With fewer words than ``width`` the whole sequence is one n-gram; without
@@ -37,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, narrowed, sliced, written
+from .common import as_batch, components, narrowed, sliced, written
 
 #: A band's largest size, by its smallest; longs of a parity bitmap; words whose hashes a worker keeps.
 BAND, BITMAP, CACHE = 1.5, 8, 1_000_000
 #: Other cuts for classes with blocks without columns.
 LEVELS = 4
+#: Times that groups meet one of their classes before pairs are made.
+TURNS = 3
 #: Columns of the ranges over which an overlap is accumulated.
 RANGE = 512
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -79,6 +82,11 @@ def columns_of(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def class_key(columns: bytes) -> int:
+    """The number of the class of all texts with these columns."""
+    return xxhash.xxh3_64_intdigest(columns) - (1 << 63)
+
+
 class Bounds:
     """What a similarity of at least ``num`` / ``den`` asks of sizes."""
 
@@ -135,7 +143,7 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-_PASS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+_PASS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
 
 def _first_pass(width: int, num: int, den: int):
@@ -143,10 +151,10 @@ def _first_pass(width: int, num: int, den: int):
         bounds, bands = Bounds(num, den), {}
         for batch in sliced(batches, 128):
             n, key, bits, marks, ends = [], [], [], [], [0]
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = columns_of(text, width)
                 n.append(len(h))
-                key.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+                key.append(class_key(h.tobytes()))
                 bits.append(bitmap(h))
                 if len(h):
                     if len(h) not in bands:
@@ -154,7 +162,7 @@ def _first_pass(width: int, num: int, den: int):
                     marks.append(digests(h, bands[len(h)]).view(np.int64))
                 ends.append(ends[-1] + (len(marks[-1]) if len(h) else 0))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
+                batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits))),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64))),
             ], schema=_PASS)
@@ -162,13 +170,14 @@ def _first_pass(width: int, num: int, den: int):
     return run
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("columns", pa.binary())])
+_SETS = pa.schema([("ref", pa.int64()), ("set_key", pa.int64()), ("columns", pa.binary())])
 
 
 def _columns(width: int):
     def run(batches):
         for batch in sliced(batches, 128):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([columns_of(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], schema=_SETS)
+            found = [columns_of(t, width).tobytes() for t in batch.column(1).to_pylist()]
+            yield as_batch(_SETS, batch.column(0), [class_key(x) for x in found], found)
 
     return run
 
@@ -212,66 +221,73 @@ class Join:
 
     def __init__(self, docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text"):
         self.width, self.num, self.den = width, num, den
-        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.rows = written(self.texts.mapInArrow(_first_pass(width, num, den), "doc_id long, n long, key long, bits array<long>, marks array<long>"), "rows")
+        own = F.col(id_col).cast("long")
+        self.texts = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(text_col)).alias("ref"), F.col(text_col).alias("text"))
+        self.rows = written(self.texts.mapInArrow(_first_pass(width, num, den), "doc_id long, ref long, n long, key long, bits array<long>, marks array<long>"), "rows")
 
     def classes(self) -> DataFrame:
-        """key, n, rep: the least id of each class with columns."""
-        return self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+        """key, rep (least id), ref (of a row with its text), n, bits: each class with columns."""
+        return self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("ref").alias("ref"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     def groups(self) -> DataFrame:
-        """mark, key, first: classes that share a block digest with another."""
+        """mark, key: classes that share a block digest with another."""
         marks = self.rows.select("key", F.explode("marks").alias("mark"))
-        shared = marks.groupBy("mark").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last").select("mark", "first")
-        return written(marks.join(shared, "mark").distinct(), "groups")
-
-    def near(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """Of ``pairs`` (a, b) those that sizes and bitmaps allow."""
-        x = known.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-        y = known.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-        return pairs.join(x, "a").join(y, "b").filter(self.allowed()).select("a", "b")
+        shared = marks.groupBy("mark").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("mark")
+        return written(marks.join(shared, "mark", "left_semi").distinct(), "groups")
 
     def allowed(self) -> str:
+        """Whether sizes and bitmaps allow a link, as SQL."""
         both, total = "(na + nb)", self.num + self.den
         needed = f"(({self.num} * {both} + {total - 1}) div {total})"
         apart = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP))
         return f"{self.den} * least(na, nb) >= {self.num} * greatest(na, nb) AND {apart} <= {both} - 2 * {needed}"
 
-    def links(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """Of ``pairs`` those whose overlap reaches the bound."""
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        ids = written(wanted.join(reps, "key").select("key", F.col("rep").alias("doc_id")), "wanted")
-        texts = narrowed(self.texts, ids.select("doc_id"), "doc_id")
-        sets = texts.mapInArrow(_columns(self.width), "doc_id long, columns binary").join(ids, "doc_id").select("key", "columns")
-        sets = written(sets, "sets")
+    def sets(self, known: DataFrame) -> DataFrame:
+        """key, columns of the classes in ``known`` (key, ref)."""
+        ids = known.select("key", "ref")
+        texts = narrowed(self.texts.select("ref", "text"), ids.select("ref"), "ref").mapInArrow(_columns(self.width), "ref long, set_key long, columns binary")
+        # rows that repeat an id may hold another text
+        return written(texts.join(ids, "ref").filter("set_key = key").select("key", "columns").dropDuplicates(["key"]), "sets")
+
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of ``pairs`` (root_a, root_b, a, b) those whose overlap reaches the bound, as (a, b) of their roots."""
         x, y = sets.select(F.col("key").alias("a"), F.col("columns").alias("x")), sets.select(F.col("key").alias("b"), F.col("columns").alias("y"))
-        return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(self.num, self.den), "a long, b long"), "links")
-
-    def linked(self) -> DataFrame:
-        """a, b: links between classes, enough of them to join every component."""
-        reps, groups = self.classes().select("key", "rep"), self.groups()
-        keys = groups.select("key").distinct()
-        bits = self.rows.select("key", "n", "bits").join(keys, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-        known = written(bits, "known")
-        first = written(self.near(groups.filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct(), known), "pairs")
-        found = self.links(first, reps)
-        roots = components(found)
-        named = groups.select("mark", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").join(known, "key").select("mark", "key", "n", "bits", F.coalesce("root", "key").alias("root"))
-        open_marks = named.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("mark")
-        left = written(named.join(open_marks, "mark", "left_semi"), "open")
-        x = left.select("mark", F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("root").alias("root_a"))
-        y = left.select("mark", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("root").alias("root_b"))
-        rest = written(x.join(y, "mark").filter(f"root_a < root_b AND {self.allowed()}").select("a", "b").distinct(), "pairs")
-        return found.unionByName(self.links(rest, reps))
+        return pairs.join(x, "a").join(y, "b").select("root_a", "root_b", "x", "y").mapInArrow(_linked(self.num, self.den), "a long, b long")
+
+    def roots(self, classes: DataFrame) -> DataFrame:
+        """key, root: the component of each class that links with another."""
+        groups = self.groups()
+        known = written(classes.join(groups.select("key").distinct(), "key", "left_semi"), "known")
+        sets = self.sets(known)
+        roots = known.select("key", F.col("key").alias("root"))
+        left = groups.join(known.select("key", "n", "bits"), "key").withColumn("root", F.col("key"))
+        for turn in range(TURNS + 1):
+            y = left.select("mark", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("root").alias("root_b"))
+            x = left.select("mark", F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("root").alias("root_a"))
+            apart = "root_a < root_b"
+            if turn < TURNS:
+                first = left.groupBy("mark").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("a"))
+                x, apart = x.join(first, ["mark", "a"]), "root_a <> root_b"
+            pairs = written(x.join(y, "mark").filter(f"{apart} AND {self.allowed()}").select("root_a", "root_b", "a", "b").distinct(), "pairs")
+            if pairs.isEmpty():
+                if turn < TURNS:
+                    continue
+                break
+            joined = components(self.links(pairs, sets)).select(F.col("node").alias("root"), F.col("root").alias("least"))
+            roots = written(roots.join(joined, "root", "left").select("key", F.coalesce("least", "root").alias("root")), "roots")
+            if turn < TURNS:
+                moved = left.join(joined, "root", "left").select("mark", "key", "n", "bits", F.coalesce("least", "root").alias("root"))
+                still = moved.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("mark")
+                left = written(moved.join(still, "mark", "left_semi"), "left")
+        return roots
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, one row for each input row."""
-        reps = written(self.classes().select("key", "rep"), "classes")
-        roots = components(self.linked()).withColumnRenamed("node", "key")
-        named = roots.join(reps, "key")
+        classes = written(self.classes(), "classes")
+        named = self.roots(classes).join(classes.select("key", "rep"), "key")
         least = named.groupBy("root").agg(F.min("rep").alias("component"))
         joined = named.join(least, "root").select("key", "component")
-        ids = reps.join(joined, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
+        ids = classes.select("key", "rep").join(joined, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
         own = self.rows.select("doc_id", "n", "key")
         return own.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
