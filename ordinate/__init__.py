@@ -1,0 +1 @@
+"""Order-aware relational processing on PySpark DataFrames."""
