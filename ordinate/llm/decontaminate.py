@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import as_batch, sliced
 
 #: Edits allowed for each character of an item; characters an item needs.
-ERROR_SHARE, LEAST_CHARS = 0.05, 32
+ERROR_SHARE, LEAST_CHARS = 0.08, 32
 BLOCK_CHARS = 4_000_000
 
 _OTHER = re.compile(r"[\W_]+")
