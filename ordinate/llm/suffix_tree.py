@@ -39,7 +39,7 @@ from .common import as_batch, crc_bucket, sliced, written
 
 END = "\n"  # no word holds white space
 SHARE_WORDS, SHARE_NGRAMS, LEAST = 2.5e-7, 1e-6, 3
-WORDS, NGRAMS = 500_000, 400_000
+WORDS, NGRAMS = 120_000, 80_000
 DISCOUNT = 0.5
 #: Tokens of a block, and documents for each task of the first pass.
 BLOCK, DOCS = 4_000_000, 8_192
@@ -300,14 +300,12 @@ class Scorer:
         self.grams = self._common(found)
         shared = spark.sparkContext.broadcast(self.grams)
         counted = written(self.rows.select("uid", "trains", "text").mapInArrow(_count(shared), "kind int, uid long, word long, n long, trains boolean"), "counts")
-        totals = counted.filter("kind < 4").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()
+        totals = counted.filter("kind < 4").groupBy("kind", "word").agg(F.sum("n").alias("n")).toArrow()
+        kind, place, sums = (totals.column(i).to_numpy() for i in range(3))
         counts = [np.zeros(n, np.int64) for n in (self.grams.k, len(self.grams.two), len(self.grams.three))]
-        self.n = 0
-        for r in totals:
-            if r.kind == 0:
-                self.n = r.n
-            else:
-                counts[r.kind - 1][r.word] = r.n
+        for i, own in enumerate(counts, 1):
+            own[place[kind == i]] = sums[kind == i]
+        self.n = int(sums[kind == 0].sum())
         self.others = counted.filter("kind > 3").select("uid", "word", "n", "trains")
         self.by_word = written(self.others.groupBy("word").agg(F.sum(F.when(F.col("trains"), F.col("n")).otherwise(0)).alias("c")), "words")
         self.v = self.by_word.filter("c > 0").count() + int((counts[0] > 0).sum())
@@ -319,7 +317,7 @@ class Scorer:
         n = found.agg(F.sum("tokens")).first()[0] or 0
 
         def best(size: int, limit: int, share: float) -> list[str]:
-            return [r.gram for r in sums.filter((F.col("size") == size) & (F.col("c") >= share * n / 4)).orderBy(F.desc("c"), "gram").limit(limit).select("gram").collect()]
+            return sums.filter((F.col("size") == size) & (F.col("c") >= share * n)).orderBy(F.desc("c"), "gram").limit(limit).select("gram").toArrow().column(0).to_pylist()
 
         # the end is counted like a word, and split(" ") keeps it
         return Grams(best(1, WORDS, SHARE_WORDS), [tuple(g.split(" ")) for g in best(2, NGRAMS, SHARE_NGRAMS)], [tuple(g.split(" ")) for g in best(3, NGRAMS, SHARE_NGRAMS)])
