@@ -68,16 +68,17 @@ ID_FILTER_BITS = 1 << 22
 
 
 def narrowed(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The ``rows`` whose ``column`` is in ``ids`` (of one column so named).
+    """``rows`` joined with ``ids`` on ``column``.
 
-    Before the exact semi join shuffles ``rows``, a Bloom filter of fixed size,
-    made of ``ids`` by bit-wise aggregation, drops most rows that can't match.
+    Before the join shuffles ``rows``, a Bloom filter of fixed size, made of
+    ``ids`` by bit-wise aggregation, drops most rows that can't match. (An inner
+    join: a semi join would be pushed below the filter.)
     """
     place = F.pmod(F.xxhash64(F.lit(7), F.col(column)), F.lit(ID_FILTER_BITS))
     words = ids.select(place.alias("__p")).select(F.shiftright("__p", 6).alias("__word"), F.expr("shiftleft(1L, cast(__p & 63 as int))").alias("__bit"))
     bits = words.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     near = rows.withColumn("__p", place).withColumn("__word", F.shiftright("__p", 6)).join(F.broadcast(bits), "__word").filter("(shiftright(__bits, cast(__p & 63 as int)) & 1) = 1")
-    return near.drop("__p", "__word", "__bits").join(ids.distinct(), column, "left_semi")
+    return near.drop("__p", "__word", "__bits").join(ids, column)
 
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])

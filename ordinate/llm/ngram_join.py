@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import as_batch, components, narrowed, sliced, written
 
 #: A band's largest size, by its smallest; longs of a parity bitmap; words whose hashes a worker keeps.
-BAND, BITMAP, CACHE = 1.5, 8, 1_000_000
+BAND, BITMAP, CACHE = 1.5, 8, 200_000
 #: Other cuts for classes with blocks without columns.
 LEVELS = 4
 #: Times that groups meet one of their classes before pairs are made.
@@ -170,7 +170,7 @@ def _first_pass(width: int, num: int, den: int):
     return run
 
 
-_SETS = pa.schema([("ref", pa.int64()), ("set_key", pa.int64()), ("columns", pa.binary())])
+_SETS = pa.schema([("key", pa.int64()), ("set_key", pa.int64()), ("columns", pa.binary())])
 
 
 def _columns(width: int):
@@ -244,15 +244,15 @@ class Join:
 
     def sets(self, known: DataFrame) -> DataFrame:
         """key, columns of the classes in ``known`` (key, ref)."""
-        ids = known.select("key", "ref")
-        texts = narrowed(self.texts.select("ref", "text"), ids.select("ref"), "ref").mapInArrow(_columns(self.width), "ref long, set_key long, columns binary")
-        # rows that repeat an id may hold another text
-        return written(texts.join(ids, "ref").filter("set_key = key").select("key", "columns").dropDuplicates(["key"]), "sets")
+        texts = narrowed(self.texts.select("ref", "text"), known.select("ref", "key"), "ref").select("key", "text")
+        # rows that repeat an id may hold another text; repeated rows repeat their columns, and so links
+        return written(texts.mapInArrow(_columns(self.width), "key long, set_key long, columns binary").filter("set_key = key").select("key", "columns"), "sets")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of ``pairs`` (root_a, root_b, a, b) those whose overlap reaches the bound, as (a, b) of their roots."""
         x, y = sets.select(F.col("key").alias("a"), F.col("columns").alias("x")), sets.select(F.col("key").alias("b"), F.col("columns").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("root_a", "root_b", "x", "y").mapInArrow(_linked(self.num, self.den), "a long, b long")
+        own_x, own_y = narrowed(x, pairs.select("a").distinct(), "a"), narrowed(y, pairs.select("b").distinct(), "b")
+        return pairs.join(own_x, "a").join(own_y, "b").select("root_a", "root_b", "x", "y").mapInArrow(_linked(self.num, self.den), "a long, b long")
 
     def roots(self, classes: DataFrame) -> DataFrame:
         """key, root: the component of each class that links with another."""
