@@ -131,7 +131,8 @@ def repeated_lines(docs: DataFrame, *, min_docs: int, min_chars: int, id_col: st
     bits = filter_bits(rows.count())
     twice = spark.sparkContext.broadcast(seen_twice(rows.select("text"), bits, min_chars))
     suspects = written(rows.mapInArrow(_screen(twice, bits, min_chars), "doc_id long, key string"), "suspects")
-    confirmed = suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).select("key", "keeper")
+    # written, so that the join below can split a key that very many documents hold
+    confirmed = written(suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).select("key", "keeper"), "confirmed")
     return suspects.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
 
 
