@@ -94,7 +94,8 @@ class Bounds:
         self.num, self.den = num, den
         self.floors = [1]
         while self.floors[-1] < 1 << 31:
-            self.floors.append(max(self.floors[-1] + 1, int(self.floors[-1] * BAND)))
+            # a band is so wide that linked sizes are in it or in the next one
+            self.floors.append(max(self.floors[-1] + 1, int(self.floors[-1] * max(BAND, den / num))))
 
     def needed(self, n: int, m: int) -> int:
         """The least overlap of linked classes of sizes n and m."""
