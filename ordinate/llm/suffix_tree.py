@@ -42,7 +42,7 @@ SHARE_WORDS, SHARE_NGRAMS, LEAST = 2.5e-7, 1e-6, 3
 WORDS, NGRAMS = 120_000, 80_000
 DISCOUNT = 0.5
 #: Tokens of a block, and documents for each task of the first pass.
-BLOCK, DOCS = 4_000_000, 8_192
+BLOCK, DOCS = 2_500_000, 8_192
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,11 +68,13 @@ _FOUND = pa.schema([("size", pa.int32()), ("gram", pa.string()), ("count", pa.in
 
 def _block(ids: _Ids, parts: list[np.ndarray]):
     """Frequent n-grams of a block; number 0 is the end, with which it begins."""
-    s = np.concatenate([np.zeros(1, np.int64), *parts])
+    s = np.concatenate([np.zeros(1, np.int32), *parts]).astype(np.int64)
+    parts.clear()
     size, names = len(s) - 1, [w.decode("utf-8", "surrogatepass") for w in ids]
     k = len(names)
     counts = np.bincount(s[1:], minlength=k)
-    one = np.flatnonzero(counts >= max(1, SHARE_WORDS * size))
+    # in large blocks, words met once are left to the shuffle, where they are as exact
+    one = np.flatnonzero(counts >= max(2 if size > BLOCK // 2 else 1, SHARE_WORDS * size))
     yield as_batch(_FOUND, [1] * len(one), [names[i] for i in one], counts[one], [size] + [0] * (len(one) - 1))
     least = max(2, SHARE_NGRAMS * size)
     common = counts >= least
@@ -95,7 +97,7 @@ def _candidates(batches):
     for batch in sliced(batches, 256):
         for text in batch.column(0).to_pylist():
             words = words_of(text)
-            parts.append(np.fromiter((*map(ids.__getitem__, words), 0), np.int64, len(words) + 1))
+            parts.append(np.fromiter((*map(ids.__getitem__, words), 0), np.int32, len(words) + 1))
             size += len(words) + 1
         if size >= 2 * BLOCK:
             half, kept = [], 0
@@ -107,7 +109,7 @@ def _candidates(batches):
             used, own = np.unique(np.concatenate([[0], *parts]), return_inverse=True)
             names = list(ids)
             ids = _Ids({names[old]: new for new, old in enumerate(used.tolist())})
-            parts = np.split(own[1:], np.cumsum([len(p) for p in parts])[:-1])
+            parts = np.split(own[1:].astype(np.int32), np.cumsum([len(p) for p in parts])[:-1])
     if parts:
         yield from _block(ids, parts)
 

@@ -52,19 +52,12 @@ def test_distributions_sum_to_one():
     grams = m.Grams(["a", "b", "c"], [("a", "b"), ("a", "c"), ("\n", "a"), ("b", "c")], [("a", "b", "c"), ("a", "b", "\n")])
     import numpy as np
 
-    ids = {w: i for i, w in enumerate(grams.words)}
     tree = m.Tree(grams, 4000, 9, [np.array([{"\n": 500, "a": 2000, "b": 1000, "c": 490}[w] for w in grams.words]), np.array([900] * len(grams.two)), np.array([700] * len(grams.three))])
     assert tree.states
     rest = (4000 + 9 + 1 - sum(10 ** tree.logs)) / (4000 + 9 + 1)  # words that aren't common
     floor = math.log10(4010)
     for context in ([], [b"a"], [b"a", b"b"], [b"b"], [b"zz"]):
-        total, base = 0.0, tree.score(context)[2]
-        for w in [*ids, None]:
-            own = tree.score([*context, b"zz" if w is None else w.encode()]) if w != m.END else None
-            if w == m.END:
-                before = m.words_of(b" ".join(context[:-1]).decode()) if context else None
-                continue
-        # by the numbers themselves
+        total = 0.0
         s = grams.numbered(context)[:-1]
         for w in range(grams.k):
             two, three = grams.places(np.array([*s, w]))
@@ -94,7 +87,7 @@ def test_blocks_find_what_is_frequent(monkeypatch):
         exact.update((2, " ".join(x)) for x in zip(["\n", *w], w))
         exact.update((3, " ".join(x)) for x in zip(["\n", *w], w, w[1:]))
     assert tokens == sum(c for (n, _), c in exact.items() if n == 1)
-    assert all(found[k] == c for k, c in exact.items() if k[0] == 1)
+    assert all(found[k] >= c - tokens // 1500 for k, c in exact.items() if k[0] == 1)
     assert all(c <= exact[k] for k, c in found.items())
 
 
