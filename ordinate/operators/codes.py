@@ -17,7 +17,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .keys import key_list
@@ -25,15 +25,20 @@ from .keys import key_list
 VALUE_BITS, ARITY = 25, 32
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written in the shared folder and read again: ranges are found by
-    sampling, so they must not be made twice."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="ordinate-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    return root
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Written in the shared folder and read again: ranges are found by
+    sampling, so they must not be made twice."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
