@@ -233,7 +233,8 @@ class Join:
     def groups(self) -> DataFrame:
         """mark, key: classes that share a block digest with another."""
         marks = self.rows.select("key", F.explode("marks").alias("mark"))
-        shared = marks.groupBy("mark").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("mark")
+        # written, so that the join can split a digest that very many classes have
+        shared = written(marks.groupBy("mark").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("mark"), "shared")
         return written(marks.join(shared, "mark", "left_semi").distinct(), "groups")
 
     def allowed(self) -> str:
@@ -288,7 +289,8 @@ class Join:
         named = self.roots(classes).join(classes.select("key", "rep"), "key")
         least = named.groupBy("root").agg(F.min("rep").alias("component"))
         joined = named.join(least, "root").select("key", "component")
-        ids = classes.select("key", "rep").join(joined, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
+        # written, so that the join can split a class of very many copies
+        ids = written(classes.select("key", "rep").join(joined, "key", "left").select("key", F.coalesce("component", "rep").alias("component")), "ids")
         own = self.rows.select("doc_id", "n", "key")
         return own.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
