@@ -261,16 +261,21 @@ class Join:
         groups = self.groups()
         known = written(classes.join(groups.select("key").distinct(), "key", "left_semi"), "known")
         sets = self.sets(known)
+        sizes = known.select("key", "n", "bits")
         roots = known.select("key", F.col("key").alias("root"))
-        left = groups.join(known.select("key", "n", "bits"), "key").withColumn("root", F.col("key"))
+        left = groups.withColumn("root", F.col("key"))
         for turn in range(TURNS + 1):
-            y = left.select("mark", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("root").alias("root_b"))
-            x = left.select("mark", F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("root").alias("root_a"))
-            apart = "root_a < root_b"
             if turn < TURNS:
-                first = left.groupBy("mark").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("a"))
-                x, apart = x.join(first, ["mark", "a"]), "root_a <> root_b"
-            pairs = written(x.join(y, "mark").filter(f"{apart} AND {self.allowed()}").select("root_a", "root_b", "a", "b").distinct(), "pairs")
+                order = F.xxhash64("key", F.lit(turn))
+                first = left.groupBy("mark").agg(F.min_by("key", order).alias("a"), F.min_by("root", order).alias("root_a"))
+                met = left.join(first, "mark").filter("root <> root_a").select("root_a", F.col("root").alias("root_b"), "a", F.col("key").alias("b")).distinct()
+                x, y = (sizes.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+                met = met.join(x, "a").join(y, "b").filter(self.allowed())
+            else:
+                whole = left.join(sizes, "key")
+                x, y = (whole.select("mark", F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
+                met = x.join(y, "mark").filter(f"root_a < root_b AND {self.allowed()}")
+            pairs = written(met.select("root_a", "root_b", "a", "b").distinct(), "pairs")
             if pairs.isEmpty():
                 if turn < TURNS:
                     continue
@@ -278,7 +283,7 @@ class Join:
             joined = components(self.links(pairs, sets)).select(F.col("node").alias("root"), F.col("root").alias("least"))
             roots = written(roots.join(joined, "root", "left").select("key", F.coalesce("least", "root").alias("root")), "roots")
             if turn < TURNS:
-                moved = left.join(joined, "root", "left").select("mark", "key", "n", "bits", F.coalesce("least", "root").alias("root"))
+                moved = left.join(joined, "root", "left").select("mark", "key", F.coalesce("least", "root").alias("root"))
                 still = moved.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("mark")
                 left = written(moved.join(still, "mark", "left_semi"), "left")
         return roots
