@@ -19,9 +19,24 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths given out by this process.
+_GIVEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Removes what this process has written in the shared folder, once no result
+    that is read from it is needed any more. Returns the number of paths."""
+    done = 0
+    while _GIVEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

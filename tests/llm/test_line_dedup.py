@@ -70,3 +70,11 @@ def test_query(spark, sf_dir):
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{os.path.join(sf_dir, 'documents.parquet')}'")
     assert sorted(map(tuple, m.op8_line_dedup(spark, sf_dir).collect())) == sorted(connection.sql(m.OP8_SQL).fetchall())
+
+
+def test_release(spark):
+    from ordinate.llm.common import release, written
+
+    release(spark)
+    path = written(spark.range(5), "r").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and release(spark) == 1 and not os.path.exists(path) and release(spark) == 0
