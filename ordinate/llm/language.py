@@ -30,6 +30,8 @@ from .common import as_batch, crc_bucket, sliced
 
 #: Bounds of the fitted sample.
 SAMPLE_DOCS, DICT_BYTES, DOC_BYTES = 400, 65_536, 1_024
+#: Parts in which the sample of a language is chosen before it is chosen of all.
+PARTS = 32
 NARROW, MARGIN, TEMPERATURE = 0.06, 0.005, 24.0
 #: Both searches keep matches of four bytes, about a syllable.
 _COMMON = {"window_log": 19, "hash_log": 16, "min_match": 4, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
@@ -48,8 +50,12 @@ def fit(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text
     a condition on the rows to learn from."""
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select("id").distinct()
+    # first within parts of each language, so that none meets whole in one task
+    chosen = known.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
+    chosen = chosen.select("id").distinct()
     cut = F.substring(F.regexp_replace(F.lower(F.substring(text_col, 1, 2 * DOC_BYTES)), r"[^\p{L}]+", " "), 1, DOC_BYTES)
     texts = rows.join(F.broadcast(chosen), rows[id_col] == chosen["id"], "left_semi").select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), cut.alias("t"))
     samples: dict[str, list] = {}
