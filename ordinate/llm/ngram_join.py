@@ -7,8 +7,9 @@ Blocks. Classes are dealt to bands by size; a class near a band's lower end also
 goes to the band below, so that any two classes whose sizes allow a link share a
 band. A band cuts the columns into one block more than two linked classes of it
 can differ in columns, so that linked classes agree on a whole block: a block of
-the product is only taken between classes with the same block digest. (A block
-without columns says nothing; a class that has one is also cut by other hashes.)
+the product is only taken between classes with the same block digest. (Blocks
+without columns say nothing. A band has some blocks to spare for them; a class
+with more of them than that is also cut by other hashes.)
 
 Bounds. For sizes n and m a link needs an overlap of at least
 ceil(t (n + m) / (1 + t)); in the same way it bounds the number of columns that
@@ -46,6 +47,8 @@ BAND, BITMAP, CACHE = 1.5, 8, 200_000
 LEVELS = 4
 #: Times that groups meet one of their classes before pairs are made.
 TURNS = 3
+#: Bits of the filter of shared digests (a table of 262,144 rows, 4 MB).
+MARK_FILTER_BITS = 1 << 24
 #: Columns of the ranges over which an overlap is accumulated.
 RANGE = 512
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -105,23 +108,24 @@ class Bounds:
         """The most columns in which linked classes of ``both`` columns, summed, differ."""
         return both - 2 * -(-self.num * both // (self.num + self.den))
 
-    def bands(self, n: int) -> list[tuple[int, int]]:
-        """(band, blocks of it) for a class of size n."""
+    def bands(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, blocks of it, how many of them may be empty) for a class of size n."""
         band = int(np.searchsorted(self.floors, n, "right")) - 1
         own = [band]
         if band and (self.floors[band] - 1) * self.den >= self.num * n:
             own.append(band - 1)
-        return [(b, self.blocks(b)) for b in own]
+        return [(b, (need := self.blocks(b)) + (spare := need // 8 + (need > 1)), spare) for b in own]
 
     def blocks(self, band: int) -> int:
+        """More than the columns in which linked classes of the band can differ."""
         top = self.floors[band + 1] - 1
         return max(self.differing(s) for s in range(top + top * self.den // self.num, max(0, top + top * self.den // self.num - 3), -1)) + 1
 
 
-def digests(h: np.ndarray, bands: list[tuple[int, int]]) -> np.ndarray:
+def digests(h: np.ndarray, bands: list[tuple[int, int, int]]) -> np.ndarray:
     """Digests of a class's blocks, one for each row of the product it is in."""
     out = []
-    for band, blocks in bands:
+    for band, blocks, spare in bands:
         for level in range(LEVELS):
             seed = np.array([band * LEVELS + level + 1], np.uint64)
             spread = mixed(h + seed * _B)
@@ -133,7 +137,7 @@ def digests(h: np.ndarray, bands: list[tuple[int, int]]) -> np.ndarray:
             own = np.arange(blocks, dtype=np.uint64)
             marks = mixed(mixed(sums + seed * _A) + own * _C + counts.astype(np.uint64))
             out.append(marks if last else marks[counts > 0])
-            if counts.all():
+            if blocks - np.count_nonzero(counts) <= spare:
                 break
     return np.concatenate(out)
 
@@ -235,7 +239,7 @@ class Join:
         marks = self.rows.select("key", F.explode("marks").alias("mark"))
         # written, so that the join can split a digest that very many classes have
         shared = written(marks.groupBy("mark").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("mark"), "shared")
-        return written(marks.join(shared, "mark", "left_semi").distinct(), "groups")
+        return written(narrowed(marks, shared, "mark", MARK_FILTER_BITS).distinct(), "groups")
 
     def allowed(self) -> str:
         """Whether sizes and bitmaps allow a link, as SQL."""

@@ -75,7 +75,7 @@ def test_bounds(num):
                 break
             need = bounds.needed(n, k)
             assert 100 * need >= num * (n + k - need) and 100 * (need - 1) < num * (n + k - need + 1)
-            shared = {b for b, _ in bounds.bands(n)} & {b for b, _ in bounds.bands(k)}
+            shared = {b[0] for b in bounds.bands(n)} & {b[0] for b in bounds.bands(k)}
             assert any(bounds.blocks(b) > bounds.differing(n + k) for b in shared)
 
 
