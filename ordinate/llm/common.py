@@ -82,18 +82,22 @@ def list_array(values, offsets, kind: pa.DataType) -> pa.Array:
 ID_FILTER_BITS = 1 << 22
 
 
-def narrowed(rows: DataFrame, ids: DataFrame, column: str, filter_bits: int = ID_FILTER_BITS) -> DataFrame:
-    """``rows`` joined with ``ids`` on ``column``.
-
-    Before the join shuffles ``rows``, a Bloom filter of fixed size, made of
-    ``ids`` by bit-wise aggregation, drops most rows that can't match. (An inner
-    join: a semi join would be pushed below the filter.)
-    """
+def screened(rows: DataFrame, ids: DataFrame, column: str, filter_bits: int = ID_FILTER_BITS) -> DataFrame:
+    """``rows`` and ``__maybe``: false only where ``column`` is surely not in
+    ``ids``. A Bloom filter of fixed size, made of ``ids`` by bit-wise
+    aggregation, goes to all tasks; ``rows`` aren't shuffled."""
     place = F.pmod(F.xxhash64(F.lit(7), F.col(column)), F.lit(filter_bits))
     words = ids.select(place.alias("__p")).select(F.shiftright("__p", 6).alias("__word"), F.expr("shiftleft(1L, cast(__p & 63 as int))").alias("__bit"))
     bits = words.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    near = rows.withColumn("__p", place).withColumn("__word", F.shiftright("__p", 6)).join(F.broadcast(bits), "__word").filter("(shiftright(__bits, cast(__p & 63 as int)) & 1) = 1")
-    return near.drop("__p", "__word", "__bits").join(ids, column)
+    placed = rows.withColumn("__p", place).withColumn("__word", F.shiftright("__p", 6)).join(F.broadcast(bits), "__word", "left")
+    return placed.withColumn("__maybe", F.expr("coalesce((shiftright(__bits, cast(__p & 63 as int)) & 1) = 1, false)")).drop("__p", "__word", "__bits")
+
+
+def narrowed(rows: DataFrame, ids: DataFrame, column: str, filter_bits: int = ID_FILTER_BITS) -> DataFrame:
+    """``rows`` joined with ``ids`` on ``column``; most rows that can't match are
+    dropped before the join shuffles them. (An inner join: a semi join would be
+    pushed below the filter.)"""
+    return screened(rows, ids, column, filter_bits).filter("__maybe").drop("__maybe").join(ids, column)
 
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])

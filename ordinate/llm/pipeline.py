@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from .common import written
+from .common import screened, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the smallest id."""
-    stay = ngram_join.similar(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    found = ngram_join.similar(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("__stays"))
+    # only ids that go, or repeat, are looked at one by one; other rows pass where they lie
+    odd = written(found.filter("__rows > 1 OR NOT __stays"), "odd-ids")
+    seen = screened(docs, odd.select("doc_id"), "doc_id")
     first = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.filter("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    rest = seen.filter("__maybe AND doc_id IS NOT NULL").join(odd, "doc_id", "left").filter("coalesce(__stays, true)").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    return seen.filter("NOT __maybe OR doc_id IS NULL").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
