@@ -8,14 +8,15 @@ words in proportion to the shorter context's distribution, down to the root,
 whose distribution is (c + 1) / (N + V + 1). A text's score is the sum over its
 tokens of log10 of the probability at the longest suffix that is a state.
 
-Counting. One pass over the training texts finds, block by block, the n-grams
-whose share of a block reaches ``SHARE``: whatever has that share of the corpus
-has it in some block. A second pass counts those exactly. They are bounded by
-``WORDS`` and ``NGRAMS`` (the commonest; the tree's size), and reach all tasks.
-All other words, without limit, are counted by a shuffle of (word, document)
-rows, grouped by word, and come back to their documents by a second one, so
-that every count c, also of words met once, is exact. Words are told apart there
-by 64-bit hashes.
+Counting. Texts are numbered once, block by block. Blocks then ask for what they
+need of the whole corpus and get it back: the counts of their words, of pairs
+whose words occur ``LEAST`` times, of triples whose pairs do, and the states of
+their contexts. Questions are shuffled by a hash of the n-gram, once for each
+block that holds it, answers by block; nothing is kept from the counts but the
+absolute least, and neither n-grams nor states meet in the driver or in one
+task. One block of those with an n-gram adds it to the sums that decide on its
+context's state. So counts, states and scores depend on the corpus alone, not on
+how it is cut into blocks. Words and n-grams are told apart by 64-bit hashes.
 
 Defined results: a null text is the empty text: one token, the end. Words are
 lower-cased (A-Z only). Texts with a null id don't train and aren't held out.
@@ -27,22 +28,24 @@ left out.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_batch, crc_bucket, sliced, written
 
 END = "\n"  # no word holds white space
-SHARE_WORDS, SHARE_NGRAMS, LEAST = 2.5e-7, 1e-6, 3
-WORDS, NGRAMS = 120_000, 80_000
+LEAST = 3
 DISCOUNT = 0.5
 #: Tokens of a block, and documents for each task of the first pass.
-BLOCK, DOCS = 2_500_000, 8_192
+BLOCK, DOCS = 1_000_000, 8_192
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,42 +60,28 @@ class _Ids(dict):
         return n
 
 
-def _frequent(codes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.unique(codes, return_counts=True)
-    keep = counts >= least
-    return values[keep], counts[keep]
-
-
 _FOUND = pa.schema([("size", pa.int32()), ("gram", pa.string()), ("count", pa.int64()), ("tokens", pa.int64())])
 
 
 def _block(ids: _Ids, parts: list[np.ndarray]):
-    """Frequent n-grams of a block; number 0 is the end, with which it begins."""
+    """All n-grams of a block; number 0 is the end, with which it begins."""
     s = np.concatenate([np.zeros(1, np.int32), *parts]).astype(np.int64)
     parts.clear()
     size, names = len(s) - 1, [w.decode("utf-8", "surrogatepass") for w in ids]
     k = len(names)
     counts = np.bincount(s[1:], minlength=k)
-    # in large blocks, words met once are left to the shuffle, where they are as exact
-    one = np.flatnonzero(counts >= max(2 if size > BLOCK // 2 else 1, SHARE_WORDS * size))
+    one = np.flatnonzero(counts)
     yield as_batch(_FOUND, [1] * len(one), [names[i] for i in one], counts[one], [size] + [0] * (len(one) - 1))
-    least = max(2, SHARE_NGRAMS * size)
-    common = counts >= least
-    both = np.flatnonzero(common[s[:-1]] & common[s[1:]])
-    codes = s[both] * k + s[both + 1]
-    two, n_two = _frequent(codes, least)
+    two, at, n_two = np.unique(s[:-1] * k + s[1:], return_inverse=True, return_counts=True)
     yield as_batch(_FOUND, [2] * len(two), [f"{names[c // k]} {names[c % k]}" for c in two.tolist()], n_two, [0] * len(two))
-    if not len(two):
-        return
-    at = np.full(len(s) - 1, -1, np.int64)
-    place = np.minimum(np.searchsorted(two, codes), len(two) - 1)
-    at[both] = np.where(two[place] == codes, place, -1)
-    third = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (s[1:-1] != 0))
-    three, n_three = _frequent(at[third] * k + s[third + 2], least)
+    third = np.flatnonzero(s[1:-1] != 0)
+    three, n_three = np.unique(at[third] * k + s[third + 2], return_counts=True)
     yield as_batch(_FOUND, [3] * len(three), [f"{names[two[c // k] // k]} {names[two[c // k] % k]} {names[c % k]}" for c in three.tolist()], n_three, [0] * len(three))
 
 
 def _candidates(batches):
+    """N-grams and counts by name: with Grams and Tree the whole model in one
+    process, which tests hold the shuffled one against."""
     ids, parts, size = _Ids({END.encode(): 0}), [], 0
     for batch in sliced(batches, 256):
         for text in batch.column(0).to_pylist():
@@ -152,50 +141,6 @@ def _place(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(codes[at] == wanted, at, -1)
 
 
-_COUNTS = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("trains", pa.bool_())])
-
-
-def _count(shared):
-    """Kinds 1 to 3: counts of common n-grams; 0: training tokens; 4: a
-    document's other words; 5: the document itself."""
-
-    def run(batches):
-        grams = shared.value
-        sizes = (grams.k, len(grams.two), len(grams.three))
-        totals, tokens = [np.zeros(n, np.int64) for n in sizes], 0
-        for batch in sliced(batches, 256):
-            uids, trains = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kinds, own, hashes, counts, flags = [], [], [], [], []
-            runs = []
-            for uid, train, text in zip(uids, trains, batch.column(2).to_pylist()):
-                words = words_of(text)
-                s = grams.numbered(words)
-                if train:
-                    tokens += len(s) - 1
-                    runs.append(s)
-                rare, n = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in np.flatnonzero(s[1:-1] < 0).tolist()), np.uint64), return_counts=True)
-                kinds += [np.full(len(rare), 4, np.int32), np.array([5], np.int32)]
-                own.append(np.full(len(rare) + 1, uid, np.int64))
-                hashes += [rare.view(np.int64), np.array([uid], np.int64)]
-                counts += [n, np.array([0])]
-                flags.append(np.full(len(rare) + 1, train, bool))
-            if runs:
-                s = np.concatenate(runs)
-                inner = np.concatenate([[False, *[True] * (len(r) - 1)] for r in runs])
-                totals[0] += np.bincount(s[inner & (s >= 0)], minlength=sizes[0])
-                two, three = zip(*(grams.places(r) for r in runs))
-                for i, found in ((1, np.concatenate(two)), (2, np.concatenate(three))):
-                    totals[i] += np.bincount(found[found >= 0], minlength=sizes[i])
-            if kinds:
-                yield as_batch(_COUNTS, np.concatenate(kinds), np.concatenate(own), np.concatenate(hashes), np.concatenate(counts).astype(np.int64), np.concatenate(flags))
-        for kind, total in enumerate(totals, 1):
-            at = np.flatnonzero(total)
-            yield as_batch(_COUNTS, np.full(len(at), kind, np.int32), np.zeros(len(at), np.int64), at, total[at], np.ones(len(at), bool))
-        yield as_batch(_COUNTS, [0], [0], [0], [tokens], [True])
-
-    return run
-
-
 class Tree:
     """The states' adjustments to the root's log10 probabilities."""
 
@@ -203,7 +148,7 @@ class Tree:
         self.grams, self.n, self.v = grams, n, v
         self.logs = np.log10(counts[0] + 1.0)
         k, floor = grams.k, math.log10(n + v + 1)
-        least = max(LEAST, SHARE_NGRAMS * n)
+        least = LEAST
         root = 10 ** (self.logs - floor)
         #: by pair and triple: log10 of the state's probability over the root's, nan where not stored
         self.two, self.three = np.full(len(grams.two), np.nan), np.full(len(grams.three), np.nan)
@@ -272,67 +217,283 @@ class Tree:
         return int(common.sum()), float(self.logs[own[common]].sum()), float(np.where(np.isnan(stored), one + left, stored).sum())
 
 
-_SCORES = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.int64()), ("common", pa.int64()), ("logs", pa.float64()), ("added", pa.float64())])
+#: Blocks, questions and answers. Kinds: 0 the block, 1 to 3 counts of words,
+#: pairs and triples, 4 and 5 states of words and pairs. n: training tokens of a
+#: block, words met in training in the first answer of a part.
+_ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("n", pa.int64())])
+_ROWS = "block long, part int, kind int, data binary, n long"
 
 
-def _score(shared):
-    def run(batches):
-        tree = shared.value
-        known = tree.n > 0
-        for batch in sliced(batches, 256):
-            found = []
-            for text in batch.column(3).to_pylist():
-                words = words_of(text)
-                common, logs, added = tree.score(words)
-                found.append((len(words) + 1, common if known else 0, logs, added))
-            yield as_batch(_SCORES, batch.column(0), batch.column(1), batch.column(2), *(list(x) for x in zip(*found)))
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed by byte planes: the upper ones are mostly 0."""
+    return zstandard.compress(values.reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
 
-    return run
 
+def _unpacked(data: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
-class Scorer:
-    """A corpus, the tree learned from its training texts, and the scores."""
 
-    def __init__(self, docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text"):
-        spark = docs.sparkSession
-        self.rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), (F.col(id_col).isNotNull() & ~F.coalesce(held_out, F.lit(False))).alias("trains"), F.col(text_col).alias("text"))
-        training = self.rows.filter("trains").select("text")
-        tasks = max(spark.sparkContext.defaultParallelism, -(-self.rows.count() // DOCS))
-        found = written(training.coalesce(tasks).mapInArrow(_candidates, "size int, gram string, count long, tokens long"), "grams")
-        self.grams = self._common(found)
-        shared = spark.sparkContext.broadcast(self.grams)
-        counted = written(self.rows.select("uid", "trains", "text").mapInArrow(_count(shared), "kind int, uid long, word long, n long, trains boolean"), "counts")
-        totals = counted.filter("kind < 4").groupBy("kind", "word").agg(F.sum("n").alias("n")).toArrow()
-        kind, place, sums = (totals.column(i).to_numpy() for i in range(3))
-        counts = [np.zeros(n, np.int64) for n in (self.grams.k, len(self.grams.two), len(self.grams.three))]
-        for i, own in enumerate(counts, 1):
-            own[place[kind == i]] = sums[kind == i]
-        self.n = int(sums[kind == 0].sum())
-        self.others = counted.filter("kind > 3").select("uid", "word", "n", "trains")
-        self.by_word = written(self.others.groupBy("word").agg(F.sum(F.when(F.col("trains"), F.col("n")).otherwise(0)).alias("c")), "words")
-        self.v = self.by_word.filter("c > 0").count() + int((counts[0] > 0).sum())
-        self.tree = Tree(self.grams, self.n, self.v, counts)
+def _blocks(batches):
+    """Documents as numbered blocks; number 0 is the end."""
+    first = TaskContext.get().partitionId() << 32
+    ids, parts, docs, size = _Ids({END.encode(): 0}), [], [], 0
+
+    def block(number: int):
+        lengths = np.array([len(p) for p in parts], np.int32)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
+        tokens = int(lengths[[d[2] for d in docs]].sum())
+        data = pickle.dumps((_packed(np.concatenate(parts)), lengths, hashes, docs), 5)
+        return as_batch(_ROW, [number], [0], [0], [data], [tokens])
+
+    for batch in sliced(batches, 256):
+        for *doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words = words_of(text)
+            parts.append(np.fromiter((*map(ids.__getitem__, words), 0), np.int32, len(words) + 1))
+            docs.append(doc)
+            size += len(words) + 1
+            if size >= BLOCK:
+                yield block(first)
+                ids, parts, docs, size, first = _Ids({END.encode(): 0}), [], [], 0, first + 1
+    if parts:
+        yield block(first)
+
+
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes; their order counts."""
+    z = x * np.uint64(0x9E3779B97F4A7C15) + y
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+class _View:
+    """A block and the answers it has got so far."""
+
+    def __init__(self, rows: pa.Table, parts: int, n: int, v: int):
+        self.parts, self.n, self.v, self.block = parts, n, v, rows.column("block")[0].as_py()
+        self.answers: dict[int, list] = defaultdict(list)
+        for kind, part, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "part", "data"))):
+            self.answers[kind].append((part, data))
+        tokens, self.lengths, self.words, self.docs = pickle.loads(self.answers.pop(0)[0][1])
+        self.s = np.concatenate([np.zeros(1, np.int64), _unpacked(tokens, np.int32)])
+        self.k = len(self.words)
+        #: by token: whether it trains
+        self.trains = np.repeat(np.array([d[2] for d in self.docs], np.float64), self.lengths)
+
+    def ask(self, kind: int, keys: np.ndarray, values: np.ndarray):
+        """The questions for each part, by ranges of keys; values have the keys'
+        order in their last axis."""
+        order = np.argsort(keys)
+        own = (keys[order] >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)
+        ends = np.searchsorted(own, np.arange(self.parts + 1, dtype=np.uint64))
+        for part in range(self.parts):
+            if len(at := order[ends[part] : ends[part + 1]]):
+                steps = np.diff(keys[at], prepend=np.uint64(0))
+                # contexts mostly ask for their state without adding to its sums
+                some = np.flatnonzero(values[3, at]).astype(np.int32) if kind > 3 else np.zeros(0, np.int32)
+                sums = values[:, at[some]] if kind > 3 else values[at]
+                yield as_batch(_ROW, [self.block], [part], [kind], [pickle.dumps((_packed(steps), _packed(some), _packed(sums)), 5)], [0])
+
+    def answered(self, kind: int, keys: np.ndarray, dtype) -> np.ndarray:
+        """What came back, in the keys' order."""
+        out = np.empty(len(keys), dtype)
+        if len(keys):
+            out[np.argsort(keys)] = np.concatenate([_unpacked(d, dtype) for _, d in sorted(self.answers.pop(kind))])
+        return out
+
+    def take_words(self) -> None:
+        self.c1 = self.answered(1, self.words, np.int64) >> 1
+        self.root = (self.c1 + 1) / (self.n + self.v + 1)
+
+    def find_pairs(self) -> None:
+        s, often = self.s, self.c1 >= LEAST
+        both = np.flatnonzero(often[s[:-1]] & often[s[1:]])
+        self.two, place = np.unique(s[both] * self.k + s[both + 1], return_inverse=True)
+        self.n2 = np.bincount(place, self.trains[both], len(self.two)).astype(np.int32)
+        self.at2 = np.full(len(s) - 1, -1, np.int64)
+        self.at2[both] = place
+        self.keys2 = _mixed(self.words[self.two // self.k], self.words[self.two % self.k])
+
+    def take_pairs(self) -> None:
+        """Only those that occur often enough stay."""
+        got = self.answered(2, self.keys2, np.int64)
+        stay = got >> 1 >= LEAST
+        new = np.append(np.where(stay, np.cumsum(stay) - 1, -1), -1)
+        self.at2, self.two, self.keys2 = new[self.at2], self.two[stay], self.keys2[stay]
+        self.c2, self.own2 = got[stay] >> 1, (got[stay] & 1).astype(bool)
+        self.one = np.flatnonzero(self.c1 >= LEAST)
+
+    def find_triples(self) -> None:
+        s, at2 = self.s, self.at2
+        self.third = np.flatnonzero((at2[:-1] >= 0) & (at2[1:] >= 0) & (s[1:-1] != 0))
+        self.three, self.at3 = np.unique(at2[self.third] * self.k + s[self.third + 2], return_inverse=True)
+        self.n3 = np.bincount(self.at3, self.trains[self.third + 1], len(self.three)).astype(np.int32)
+        self.keys3 = _mixed(self.keys2[self.three // self.k], self.words[self.three % self.k])
+
+    def take_triples(self) -> None:
+        got = self.answered(3, self.keys3, np.int64)
+        self.c3, self.own3 = got >> 1, (got & 1).astype(bool)
+        #: by word: natural log of the share left to other words, nan where no state
+        self.left1 = np.full(self.k, np.nan)
+        self.left1[self.one] = self.answered(4, self.words[self.one], np.float64)
+        self.pairs = np.unique(self.at2[:-1][(self.at2[:-1] >= 0) & (self.s[1:-1] != 0)])
+
+    def take_states(self) -> None:
+        self.left2 = np.full(len(self.two), np.nan)
+        self.left2[self.pairs] = self.answered(5, self.keys2[self.pairs], np.float64)
 
     @staticmethod
-    def _common(found: DataFrame) -> Grams:
-        sums = found.groupBy("size", "gram").agg(F.sum("count").alias("c"))
-        n = found.agg(F.sum("tokens")).first()[0] or 0
+    def _sums(contexts, of, counts, shorter, totals, size):
+        """What decides on the states of ``contexts``, summed over own n-grams."""
+        terms = (counts * np.log((counts - DISCOUNT) / shorter), counts, shorter, np.ones(len(of)))
+        return np.stack([*(np.bincount(of, t, size)[contexts] for t in terms), totals[contexts].astype(np.float64)])
+
+    def questions(self, step: int):
+        if step == 1:
+            yield from self.ask(1, self.words, np.bincount(self.s[1:], self.trains, self.k).astype(np.int32))
+            return
+        self.take_words()
+        self.find_pairs()
+        if step == 2:
+            yield from self.ask(2, self.keys2, self.n2)
+            return
+        self.take_pairs()
+        self.find_triples()
+        if step == 3:
+            yield from self.ask(3, self.keys3, self.n3)
+            own = np.flatnonzero(self.own2)
+            sums = self._sums(self.one, self.two[own] // self.k, self.c2[own], self.root[self.two[own] % self.k], self.c1, self.k)
+            yield from self.ask(4, self.words[self.one], sums)
+            return
+        self.take_triples()
+        if step == 4:
+            own = np.flatnonzero(self.own3 & (self.c3 >= LEAST))
+            pair, word = self.three[own] // self.k, self.three[own] % self.k
+            middle = self.two[pair] % self.k
+            inner = np.searchsorted(self.two, middle * self.k + word)
+            shorter = np.where(np.isnan(self.left1[middle]), self.root[word], (self.c2[inner] - DISCOUNT) / self.c1[middle])
+            yield from self.ask(5, self.keys2[self.pairs], self._sums(self.pairs, pair, self.c3[own], shorter, self.c2, len(self.two)))
+            return
+        self.take_states()
+        yield self.scores()
+
+    def scores(self) -> pa.RecordBatch:
+        s, at2 = self.s, self.at2
+        own, base = s[1:], np.log10(self.root)
+        left = np.nan_to_num(self.left1)[s[:-1]]
+        stored = (at2 >= 0) & ~np.isnan(self.left1[s[:-1]])
+        added = np.where(stored, 0.0, left / math.log(10))
+        added[stored] = np.log10((self.c2[at2[stored]] - DISCOUNT) / self.c1[s[:-1][stored]]) - base[own[stored]]
+        context = np.full(len(own), -1, np.int64)
+        context[1:] = np.where(s[1:-1] != 0, at2[:-1], -1)
+        state = np.flatnonzero(context >= 0)
+        state = state[~np.isnan(self.left2[context[state]])]
+        c3 = np.zeros(len(own), np.int64)
+        c3[self.third + 1] = self.c3[self.at3]
+        longer = c3[state] >= LEAST
+        added[state[~longer]] += self.left2[context[state[~longer]]] / math.log(10)
+        full = state[longer]
+        added[full] = np.log10((c3[full] - DISCOUNT) / self.c2[context[full]]) - base[own[full]]
+        doc, n = np.repeat(np.arange(len(self.docs)), self.lengths), len(self.docs)
+        sums = np.bincount(doc, base[own], n)
+        ids, held, _ = (list(x) for x in zip(*self.docs))
+        return as_batch(_SCORES, ids, held, self.lengths.astype(np.int64), np.bincount(doc, self.c1[own] > 0, n).astype(np.int64), np.full(n, self.n), sums, sums + np.bincount(doc, added, n))
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _lefts(sums: np.ndarray, n: int) -> np.ndarray:
+    """Of each context: log of the share left to other words, nan where its
+    distribution doesn't diverge enough."""
+    gain, counts, shorter, words, total = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest, others = 1 - (counts - DISCOUNT * words) / total, 1 - shorter
+        left = np.where((words > 0) & (rest > 0) & (others > 0), np.log(rest / others), np.nan)
+        gain = gain - counts * np.log(total) + (total - counts) * left
+    return np.where(gain >= 0.5 * words * math.log(max(n, 1)), left, np.nan)
+
+
+def _answer(n: int):
+    """Sums over the blocks that ask, for one kind and part. Counts come with a
+    bit: whether this block, the first, is to add the n-gram to its context."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
+        keys, some, values = zip(*map(pickle.loads, rows.column("data").to_pylist()))
+        keys, some = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in keys], [_unpacked(x, np.int32) for x in some]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        values = np.concatenate([_unpacked(x, np.int32) if kind < 4 else _unpacked(x, np.float64).reshape(5, -1) for x in values], axis=-1)
+        found, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        types = 0
+        if kind < 4:
+            c = np.bincount(at, values, len(found)).astype(np.int64)
+            types = int((c > 0).sum()) if kind == 1 else 0
+            got = np.where(c >= (1 if kind == 1 else LEAST), c, 0)[at] << 1
+            got[first] |= 1
+        else:
+            adding = at[np.concatenate([x + start for x, start in zip(some, [0, *ends])])]
+            totals = np.zeros(len(found))
+            totals[adding] = values[4]
+            got = _lefts(np.stack([*(np.bincount(adding, x, len(found)) for x in values[:4]), totals]), n)[at]
+        data = [_packed(x) for x in np.split(got, ends)]
+        return pa.Table.from_batches([as_batch(_ROW, rows.column("block").combine_chunks(), [part] * len(data), [kind] * len(data), data, [types] + [0] * (len(data) - 1))])
+
+    return run
 
-        def best(size: int, limit: int, share: float) -> list[str]:
-            return sums.filter((F.col("size") == size) & (F.col("c") >= share * n)).orderBy(F.desc("c"), "gram").limit(limit).select("gram").toArrow().column(0).to_pylist()
 
-        # the end is counted like a word, and split(" ") keeps it
-        return Grams(best(1, WORDS, SHARE_WORDS), [tuple(g.split(" ")) for g in best(2, NGRAMS, SHARE_NGRAMS)], [tuple(g.split(" ")) for g in best(3, NGRAMS, SHARE_NGRAMS)])
+def _swept(df: DataFrame, name: str) -> DataFrame:
+    """``written``; the shuffle files go at once, not when the driver happens to
+    collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+class Scorer:
+    """A corpus, what its blocks have learned from its training texts, and the scores."""
+
+    def __init__(self, docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text"):
+        spark = docs.sparkSession
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), (F.col(id_col).isNotNull() & ~F.coalesce(held_out, F.lit(False))).alias("trains"), F.col(text_col).alias("text"))
+        tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // DOCS))
+        self.known = [written(rows.coalesce(tasks).mapInArrow(_blocks, _ROWS), "blocks")]
+        blocks, self.n = self.known[0].agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.parts, self.v = max(spark.sparkContext.defaultParallelism, blocks // 2), 0
+        for step in range(1, 5):
+            answers = _swept(self._blocks(step, _ROWS).groupBy("kind", "part").applyInArrow(_answer(self.n), _ROWS), "answers")
+            if step == 1:
+                self.v = answers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            self.known.append(answers)
+
+    def _blocks(self, step: int, schema: str) -> DataFrame:
+        """What the blocks ask or, last, find, with the answers known by now."""
+        parts, n, v = self.parts, self.n, self.v
+
+        def rows(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from _View(pa.Table.from_batches([batch.slice(i, 1)]), parts, n, v).questions(step)
+
+        def group(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(list(_View(table, parts, n, v).questions(step)), _SCORES if step == 5 else _ROW)
+
+        if step == 1:
+            return self.known[0].mapInArrow(rows, schema)
+        known = self.known[0]
+        for answers in self.known[1:]:
+            known = known.unionByName(answers)
+        return known.groupBy("block").applyInArrow(group, schema)
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-        spark = self.rows.sparkSession
-        own = self.rows.select("uid", "doc_id", "held_out", "text").mapInArrow(_score(spark.sparkContext.broadcast(self.tree)), "uid long, doc_id long, held_out boolean, tokens long, common long, logs double, added double")
-        parts = self.others.join(self.by_word, "word").select("uid", F.when(F.col("n") == 0, 1).otherwise(0).alias("copies"), (F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"))
-        rest = parts.groupBy("uid").agg(F.sum("copies").alias("copies"), F.sum("logs").alias("rest"), F.sum("known").alias("known"))
-        floor = math.log10(self.n + self.v + 1)
-        base = F.col("logs") + F.col("rest") / F.col("copies") - F.lit(floor) * F.col("tokens")
-        return own.join(rest, "uid", "left").select("doc_id", "held_out", F.col("tokens").alias("n_tokens"), (F.col("common") + (F.col("known") / F.col("copies")).cast("long")).alias("n_known"), F.lit(self.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("added")).alias("score"))
+        return self._blocks(5, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,37 @@ def test_nothing_to_learn_from(spark):
     assert scores(spark, [(1, "a")]).filter("doc_id > 5").count() == 0
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert m.Scorer(empty, F.lit(False)).scores().collect() == []
+
+
+def whole_tree(rows):
+    """The tree in one process, of all counts of the training texts."""
+    import numpy as np
+
+    texts = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    sums = Counter()
+    for batch in m._candidates([pa.RecordBatch.from_pydict({"text": texts})]):
+        for r in batch.to_pylist():
+            sums[r["size"], r["gram"]] += r["count"]
+    grams = m.Grams([g for s, g in sums if s == 1], [tuple(g.split(" ")) for s, g in sums if s == 2], [tuple(g.split(" ")) for s, g in sums if s == 3])
+    name = lambda *ids: " ".join(grams.words[i] for i in ids)
+    two = [(c // grams.k, c % grams.k) for c in grams.two.tolist()]
+    counts = [[sums[1, w] for w in grams.words], [sums[2, name(*p)] for p in two], [sums[3, name(*two[c // grams.k], c % grams.k)] for c in grams.three.tolist()]]
+    return m.Tree(grams, sum(counts[0]), grams.k, [np.array(c, np.int64) for c in counts])
+
+
+def test_rare_ngrams_count_wherever_they_are(spark, monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{min(rnd.randint(0, 300), rnd.randint(0, 300))}" for _ in range(rnd.randint(1, 50))) for _ in range(300)]
+    # each rare pair and triple once in a document, in four documents far apart
+    for j in range(60):
+        for i in range(j, 300, 75):
+            texts[i] += f" x{j} y{j} z{j}"
+    rows = list(enumerate(texts))
+    tree = whole_tree(rows)
+    assert tree.states > 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts, block in ((1, 1_000_000), (24, 500)):
+        monkeypatch.setattr(m, "BLOCK", block)
+        found = {r.doc_id: r for r in m.Scorer(df.repartition(parts), crc_bucket(F.col("doc_id"), 7) == 2).scores().collect()}
+        for i, text in rows:
+            assert found[i].score - found[i].base_score == pytest.approx(tree.score(m.words_of(text))[2], abs=1e-8)
