@@ -8,7 +8,10 @@ is encoded again with a deeper match search; where that leaves them within
 ``MARGIN`` the choice is marked ``rejected``, but still named.
 
 The dictionaries are fitted on at most ``SAMPLE_DOCS`` training documents of
-each language (those with the smallest hash of id), ``DICT_BYTES`` in all.
+each language (those with the smallest hash of id), ``DICT_BYTES`` in all. Every
+sampled document has the same share of these bytes (what short ones leave goes to
+the others), in pieces of about ``PIECE`` bytes from places spread over its whole
+text, one in each of as many equal stretches, chosen there by hash.
 Null texts and texts without any letter are ``und`` with score 0 and rejected.
 Without any training row every text is ``und``. Equal sizes go to the language
 with more training documents, then to the smaller name. Repeated rows give
@@ -22,14 +25,15 @@ import math
 import re
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, crc_bucket, sliced
+from .common import as_batch, crc_bucket, sliced, written
 
 #: Bounds of the fitted sample.
-SAMPLE_DOCS, DICT_BYTES, DOC_BYTES = 400, 65_536, 1_024
+SAMPLE_DOCS, DICT_BYTES, PIECE = 400, 65_536, 64
 #: Parts in which the sample of a language is chosen before it is chosen of all.
 PARTS = 32
 NARROW, MARGIN, TEMPERATURE = 0.06, 0.005, 24.0
@@ -45,6 +49,38 @@ def folded(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
+_SAMPLE = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("data", pa.binary()), ("size", pa.int64())])
+
+
+def _folded_rows(batches):
+    for batch in sliced(batches, 64):
+        data = [f"{folded(t)} ".encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
+        yield as_batch(_SAMPLE, batch.column(0), batch.column(1), data, [len(d) for d in data])
+
+
+def _share(sizes: list[int], total: int) -> int:
+    """The most bytes of a document so that all together have ``total``."""
+    left = total
+    for i, size in enumerate(sorted(sizes)):
+        if size > (share := left // (len(sizes) - i)):
+            return share
+        left -= size
+    return max(sizes)
+
+
+def _pieces(data: bytes, share: int, seed: int) -> bytes:
+    """At most ``share`` bytes from places over all of ``data``."""
+    if len(data) <= share:
+        return data
+    k = max(1, share // PIECE)
+    size, out = share // k - 1, []
+    for i in range(k):
+        start, end = len(data) * i // k, len(data) * (i + 1) // k
+        at = start + xxhash.xxh3_64_intdigest(b"%d %d" % (seed, i)) % (max(end - start - size, 0) + 1)
+        out.append(data[at : at + max(size, 0)])
+    return b" ".join([*out, b""])
+
+
 def fit(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, the commonest language first. ``train`` is
     a condition on the rows to learn from."""
@@ -56,14 +92,25 @@ def fit(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text
         order = Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id")
         chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
     chosen = chosen.select("id").distinct()
-    cut = F.substring(F.regexp_replace(F.lower(F.substring(text_col, 1, 2 * DOC_BYTES)), r"[^\p{L}]+", " "), 1, DOC_BYTES)
-    texts = rows.join(F.broadcast(chosen), rows[id_col] == chosen["id"], "left_semi").select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), cut.alias("t"))
+    texts = rows.join(F.broadcast(chosen), rows[id_col] == chosen["id"], "left_semi").select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
+    sampled = written(texts.mapInArrow(_folded_rows, "lang string, h long, data binary, size long"), "sample")
+    lengths: dict[str, list] = {}
+    for r in sampled.select("lang", "size").collect():
+        lengths.setdefault(r.lang, []).append(r["size"])
+    shares = {lang: _share(found, DICT_BYTES) for lang, found in lengths.items()}
+
+    def cut(batches):
+        for batch in batches:
+            langs, seeds, data, _ = (c.to_pylist() for c in batch.columns)
+            out = [_pieces(d, shares[lang], h) for lang, h, d in zip(langs, seeds, data)]
+            yield as_batch(_SAMPLE, batch.column(0), batch.column(1), out, [len(d) for d in out])
+
     samples: dict[str, list] = {}
-    for r in texts.collect():
-        samples.setdefault(r.lang, []).append((r.h, r.t))
+    for r in sampled.mapInArrow(cut, "lang string, h long, data binary, size long").collect():
+        samples.setdefault(r.lang, []).append((r.h, bytes(r.data)))
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     ranked = sorted(samples, key=lambda lang: (-sizes.get(lang, 0), lang))
-    return [(lang, "".join(f"{t} " for _, t in sorted(samples[lang])).encode()[-DICT_BYTES:]) for lang in ranked]
+    return [(lang, b"".join(t for _, t in sorted(samples[lang]))) for lang in ranked]
 
 
 @functools.lru_cache(maxsize=2)

@@ -52,3 +52,22 @@ def test_query(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     held = [r for r in rows if r.held_out]
     assert len(rows) == len(truth) and sum(r.lang_pred == truth[r.doc_id] for r in held) > 0.95 * len(held)
+
+
+def test_samples_come_from_whole_texts(spark):
+    banner = "every page of this source begins with the same foreign words " * 40
+    rnd = random.Random(9)
+    rows = []
+    for i in range(120):
+        own = "own" + "".join(rnd.choice("abcdefghij") for _ in range(9))
+        rows.append((i, banner + " ".join([own, *(rnd.choice(SYLLABLES["yy"]) for _ in range(4))] * 300), "yy"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    [(lang, data)] = m.fit(df, F.lit(True))
+    assert lang == "yy" and len(data) <= m.DICT_BYTES
+    assert sum(text.split()[440].encode() in data for _, text, _ in rows) == len(rows)
+    assert data.count(b"foreign") * 61 < 0.3 * len(data)
+
+
+def test_shares_fit():
+    assert m._share([5, 100, 100], 105) == 50 and m._share([5, 6], 100) == 6
+    assert all(len(m._pieces(b"x" * n, share, 3)) <= share for n in (10, 1000, 5000) for share in (10, 163, 999))
