@@ -133,3 +133,11 @@ def test_rare_ngrams_count_wherever_they_are(spark, monkeypatch):
         found = {r.doc_id: r for r in m.Scorer(df.repartition(parts), crc_bucket(F.col("doc_id"), 7) == 2).scores().collect()}
         for i, text in rows:
             assert found[i].score - found[i].base_score == pytest.approx(tree.score(m.words_of(text))[2], abs=1e-8)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [(i, f"a{i} b{i} " + ("p q" if i % 10 == 0 else f"c{i}")) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in m.Scorer(df.repartitionByRange(parts, "doc_id"), F.lit(False)).scores().collect()} for parts in (1, 40))
+    assert one[0].score > one[0].base_score
+    assert all(one[i].score == pytest.approx(many[i].score, abs=1e-9) for i, _ in rows)
