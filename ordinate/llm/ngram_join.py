@@ -1,34 +1,47 @@
 """N-gram Jaccard join: a blocked sparse product of the incidence matrix.
 
-Rows of the matrix are documents, columns word n-grams (by 64-bit hash). Rows
-with the same columns are one class, and the product is taken between classes.
-
-Blocks. Classes are dealt to bands by size; a class near a band's lower end also
-goes to the band below, so that any two classes whose sizes allow a link share a
-band. A band cuts the columns into one block more than two linked classes of it
-can differ in columns, so that linked classes agree on a whole block: a block of
-the product is only taken between classes with the same block digest. (Blocks
-without columns say nothing. A band has some blocks to spare for them; a class
-with more of them than that is also cut by other hashes.)
-
-Bounds. For sizes n and m a link needs an overlap of at least
-ceil(t (n + m) / (1 + t)); in the same way it bounds the number of columns that
-differ. A parity bitmap of each class, whose Hamming distance never exceeds that
-number, discards pairs before any column is fetched. For the others the overlap
-is accumulated over column ranges, and a pair is dropped as soon as the rest
-can't reach the bound.
-
-Large groups. Pairs within a group of equal digests aren't all made: each class
-first meets one class of its group, ``TURNS`` times another one; what links then
-is one component, and only pairs of different components are made after that. No
-link between components can be lost, and a group of near copies costs its size,
-not its square.
+Rows of the matrix are classes (documents with the same columns are one class),
+columns word n-grams (by 64-bit hash). An entry of the product is the overlap of
+two classes; only entries that may reach the bound of their sizes are formed.
+
+Bounds. Classes of sizes n and m are linked if they share at least
+ceil(t (n + m) / (1 + t)) columns. If the columns of all classes are put in one
+order, two linked classes meet in the first n - ceil(t n) + 1 columns of each:
+only these entries of the incidence matrix take part in finding candidates, and
+one at rank r leaves at most n - r columns to share, which bounds the size of
+the partner. Entries in the earlier half of this prefix can meet any linked
+class; a later one only meets classes that have the column in their earlier half.
+
+Order. Columns that more than ``HOT`` classes put forward come last, the rarer
+ones of them first; all others are ordered by hash. Every class puts forward its
+first columns by hash and some to spare; one that has too few others among them
+puts forward more, until it has enough or has no more. So a text of many shared
+passages is found by what few others have, and a column of a template that very
+many classes share makes no pairs of those that differ enough elsewhere.
+
+Large groups. Pairs within a column's group aren't all formed: each class first
+meets one class of its group, ``TURNS`` times another one; what links then is one
+component, and after that only classes outside the group's largest component
+meet others. No link between components can be lost.
+
+Product. A parity bitmap of each class, whose Hamming distance never exceeds the
+number of columns that differ, discards candidates first. For the others, columns
+are cut into blocks (ranges of hashes of about ``RANGE`` columns) and overlaps are
+counted block by block and summed for each pair: the first block alone drops
+pairs that the remaining columns can't lift to the bound. No row ever holds more
+than one block of two classes.
+
+What stays quadratic: classes that have hardly any column which fewer than
+``HOT`` classes share, that share such columns in the earlier half of their
+prefix, and yet aren't linked. They meet pair by pair (cheaply, by sizes, ranks
+and bitmaps).
 
 Defined results: words are lower-cased (A-Z only) runs of what isn't ASCII white
 space. With fewer words than ``width`` the whole sequence is one n-gram; without
 words, or null, a document has no n-grams and is linked with nothing. Copies
 (also rows that repeat an id) are linked. Rows with a null id take part; a
-component's id is the least id that isn't null. Extra columns are left out.
+component's id is the least id that isn't null. Very long texts are one row of
+many blocks. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -36,22 +49,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, components, narrowed, sliced, written
+from .common import components, narrowed, sliced, written
 
-#: A band's largest size, by its smallest; longs of a parity bitmap; words whose hashes a worker keeps.
-BAND, BITMAP, CACHE = 1.5, 8, 200_000
-#: Other cuts for classes with blocks without columns.
-LEVELS = 4
+#: Longs of a parity bitmap; words whose hashes a worker keeps.
+BITMAP, CACHE = 8, 100_000
+#: Classes from which on a column is ordered behind others; columns that each class puts forward to spare, besides a quarter.
+HOT, SPARE = 32, 8
 #: Times that groups meet one of their classes before pairs are made.
 TURNS = 3
-#: Bits of the filter of shared digests (a table of 262,144 rows, 4 MB).
-MARK_FILTER_BITS = 1 << 24
-#: Columns of the ranges over which an overlap is accumulated.
-RANGE = 512
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Bits of the filter of shared columns (a table of 262,144 rows, 4 MB).
+COLUMN_FILTER_BITS = 1 << 24
+#: Columns of a block of the product, about.
+RANGE = 1024
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -90,216 +103,228 @@ def class_key(columns: bytes) -> int:
     return xxhash.xxh3_64_intdigest(columns) - (1 << 63)
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of columns that fall on each of the bits."""
+    bits = np.bincount((mixed(h ^ _B) % np.uint64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 class Bounds:
-    """What a similarity of at least ``num`` / ``den`` asks of sizes."""
+    """What a similarity of at least ``num`` / ``den`` asks of sizes, also as SQL."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.floors = [1]
-        while self.floors[-1] < 1 << 31:
-            # a band is so wide that linked sizes are in it or in the next one
-            self.floors.append(max(self.floors[-1] + 1, int(self.floors[-1] * max(BAND, den / num))))
 
     def needed(self, n: int, m: int) -> int:
         """The least overlap of linked classes of sizes n and m."""
         return -(-self.num * (n + m) // (self.num + self.den))
 
-    def differing(self, both: int) -> int:
-        """The most columns in which linked classes of ``both`` columns, summed, differ."""
-        return both - 2 * -(-self.num * both // (self.num + self.den))
-
-    def bands(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, blocks of it, how many of them may be empty) for a class of size n."""
-        band = int(np.searchsorted(self.floors, n, "right")) - 1
-        own = [band]
-        if band and (self.floors[band] - 1) * self.den >= self.num * n:
-            own.append(band - 1)
-        return [(b, (need := self.blocks(b)) + (spare := need // 8 + (need > 1)), spare) for b in own]
-
-    def blocks(self, band: int) -> int:
-        """More than the columns in which linked classes of the band can differ."""
-        top = self.floors[band + 1] - 1
-        return max(self.differing(s) for s in range(top + top * self.den // self.num, max(0, top + top * self.den // self.num - 3), -1)) + 1
-
-
-def digests(h: np.ndarray, bands: list[tuple[int, int, int]]) -> np.ndarray:
-    """Digests of a class's blocks, one for each row of the product it is in."""
-    out = []
-    for band, blocks, spare in bands:
-        for level in range(LEVELS):
-            seed = np.array([band * LEVELS + level + 1], np.uint64)
-            spread = mixed(h + seed * _B)
-            sums = np.zeros(blocks, np.uint64)
-            at = (spread % np.uint64(blocks)).astype(np.int64)
-            np.add.at(sums, at, mixed(h ^ _C))
-            counts = np.bincount(at, minlength=blocks)
-            last = level == LEVELS - 1
-            own = np.arange(blocks, dtype=np.uint64)
-            marks = mixed(mixed(sums + seed * _A) + own * _C + counts.astype(np.uint64))
-            out.append(marks if last else marks[counts > 0])
-            if blocks - np.count_nonzero(counts) <= spare:
-                break
-    return np.concatenate(out)
+    def prefix(self, n: int) -> int:
+        """In how many of its first columns a class of size n meets all linked ones."""
+        return n - -(-self.num * n // self.den) + 1
 
+    def prefix_sql(self) -> str:
+        return f"(n - (({self.num} * n + {self.den - 1}) div {self.den}) + 1)"
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of columns that fall on each of the bits."""
-    bits = np.bincount((mixed(h ^ _B) % np.uint64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    def needed_sql(self) -> str:
+        return f"(({self.num} * (na + nb) + {self.num + self.den - 1}) div {self.num + self.den})"
+
+    def early_sql(self) -> str:
+        """Whether an entry at ``rank`` of a class of size ``n`` can meet a class of the same size."""
+        return f"({self.num + self.den} * (n - rank) >= {2 * self.num} * n)"
+
+    def reached_sql(self) -> str:
+        """Whether classes that meet at ``ra`` and ``rb`` can share enough after it."""
+        return f"least(na - ra, nb - rb) >= {self.needed_sql()}"
+
+    def close_sql(self) -> str:
+        """Whether bitmaps allow a link."""
+        apart = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP))
+        return f"{apart} <= na + nb - 2 * {self.needed_sql()}"
 
 
-_PASS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+_PASS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.list_(pa.int64())), ("cols", pa.list_(pa.int64()))])
 
 
-def _first_pass(width: int, num: int, den: int):
+def _first_pass(width: int):
+    """Each text's class. Its columns, sorted, come with the first text of the
+    class that a task meets."""
+
     def run(batches):
-        bounds, bands = Bounds(num, den), {}
-        for batch in sliced(batches, 128):
-            n, key, bits, marks, ends = [], [], [], [], [0]
+        met: set[int] = set()
+        for batch in sliced(batches, 64):
+            n, key, bits, cols, ends, known = [], [], [], [], [0], []
             for text in batch.column(2).to_pylist():
                 h = columns_of(text, width)
                 n.append(len(h))
                 key.append(class_key(h.tobytes()))
                 bits.append(bitmap(h))
-                if len(h):
-                    if len(h) not in bands:
-                        bands[len(h)] = bounds.bands(len(h))
-                    marks.append(digests(h, bands[len(h)]).view(np.int64))
-                ends.append(ends[-1] + (len(marks[-1]) if len(h) else 0))
+                known.append(key[-1] in met or not len(h))
+                if not known[-1]:
+                    met.add(key[-1])
+                    cols.append(h.view(np.int64))
+                ends.append(ends[-1] + (0 if known[-1] else len(h)))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits))),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64))),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cols) if cols else np.zeros(0, np.int64)), mask=pa.array(known, pa.bool_())),
             ], schema=_PASS)
 
     return run
 
 
-_SETS = pa.schema([("key", pa.int64()), ("set_key", pa.int64()), ("columns", pa.binary())])
-
+_BLOCKS = pa.schema([("key", pa.int64()), ("nb", pa.int32()), ("blk", pa.int32()), ("part", pa.list_(pa.int64()))])
 
-def _columns(width: int):
-    def run(batches):
-        for batch in sliced(batches, 128):
-            found = [columns_of(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield as_batch(_SETS, batch.column(0), [class_key(x) for x in found], found)
 
-    return run
+def blocks_of(columns: np.ndarray, nb: int) -> np.ndarray:
+    """Where the ``nb`` (a power of two) ranges of hashes end in sorted columns."""
+    if nb == 1:
+        return np.array([len(columns)])
+    return np.append(np.searchsorted(columns, np.arange(1, nb, dtype=np.uint64) << np.uint64(65 - nb.bit_length())), len(columns))
 
 
-def overlaps(a: np.ndarray, b: np.ndarray, needed: int) -> int:
-    """Common columns of two sorted rows, or -1 once ``needed`` is out of reach."""
-    if len(a) > len(b):
-        a, b = b, a
-    total = 0
-    for start in range(0, len(a), RANGE):
-        part = a[start : start + RANGE]
-        low, high = np.searchsorted(b, part[0]), np.searchsorted(b, part[-1], "right")
-        own = b[low:high]
-        if len(own):
-            total += int((own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part).sum())
-        if total + min(len(a) - start - len(part), len(b) - high) < needed:
-            return -1
-    return total
-
-
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _linked(num: int, den: int):
-    def run(batches):
-        bounds = Bounds(num, den)
-        for batch in sliced(batches, 256):
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                needed = bounds.needed(len(p), len(q))
-                keep.append(min(len(p), len(q)) >= needed and overlaps(p, q, needed) >= needed)
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], schema=_LINKS)
-
-    return run
+def _blocks(batches):
+    for batch in sliced(batches, 64):
+        lists, offsets = batch.column(2), batch.column(2).offsets.to_numpy()
+        flat = lists.values.to_numpy().view(np.uint64)
+        for i, (key, nb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            own = flat[offsets[i] : offsets[i + 1]]
+            ends = np.append(0, blocks_of(own, nb)).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(own.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * nb, pa.int64()), pa.array([nb] * nb, pa.int32()), pa.array(range(nb), pa.int32()), parts], schema=_BLOCKS)
 
 
 class Join:
-    """One join: the pass over the texts, the candidates and the links."""
+    """One join: the pass over the texts, the candidates and the product."""
 
     def __init__(self, docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text"):
-        self.width, self.num, self.den = width, num, den
+        self.bounds = Bounds(num, den)
         own = F.col(id_col).cast("long")
-        self.texts = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(text_col)).alias("ref"), F.col(text_col).alias("text"))
-        self.rows = written(self.texts.mapInArrow(_first_pass(width, num, den), "doc_id long, ref long, n long, key long, bits array<long>, marks array<long>"), "rows")
-
-    def classes(self) -> DataFrame:
-        """key, rep (least id), ref (of a row with its text), n, bits: each class with columns."""
-        return self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("ref").alias("ref"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-
-    def groups(self) -> DataFrame:
-        """mark, key: classes that share a block digest with another."""
-        marks = self.rows.select("key", F.explode("marks").alias("mark"))
-        # written, so that the join can split a digest that very many classes have
-        shared = written(marks.groupBy("mark").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("mark"), "shared")
-        return written(narrowed(marks, shared, "mark", MARK_FILTER_BITS).distinct(), "groups")
-
-    def allowed(self) -> str:
-        """Whether sizes and bitmaps allow a link, as SQL."""
-        both, total = "(na + nb)", self.num + self.den
-        needed = f"(({self.num} * {both} + {total - 1}) div {total})"
-        apart = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP))
-        return f"{self.den} * least(na, nb) >= {self.num} * greatest(na, nb) AND {apart} <= {both} - 2 * {needed}"
-
-    def sets(self, known: DataFrame) -> DataFrame:
-        """key, columns of the classes in ``known`` (key, ref)."""
-        texts = narrowed(self.texts.select("ref", "text"), known.select("ref", "key"), "ref").select("key", "text")
-        # rows that repeat an id may hold another text; repeated rows repeat their columns, and so links
-        return written(texts.mapInArrow(_columns(self.width), "key long, set_key long, columns binary").filter("set_key = key").select("key", "columns"), "sets")
-
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of ``pairs`` (root_a, root_b, a, b) those whose overlap reaches the bound, as (a, b) of their roots."""
-        x, y = sets.select(F.col("key").alias("a"), F.col("columns").alias("x")), sets.select(F.col("key").alias("b"), F.col("columns").alias("y"))
-        own_x, own_y = narrowed(x, pairs.select("a").distinct(), "a"), narrowed(y, pairs.select("b").distinct(), "b")
-        return pairs.join(own_x, "a").join(own_y, "b").select("root_a", "root_b", "x", "y").mapInArrow(_linked(self.num, self.den), "a long, b long")
-
-    def roots(self, classes: DataFrame) -> DataFrame:
-        """key, root: the component of each class that links with another."""
-        groups = self.groups()
-        known = written(classes.join(groups.select("key").distinct(), "key", "left_semi"), "known")
-        sets = self.sets(known)
-        sizes = known.select("key", "n", "bits")
-        roots = known.select("key", F.col("key").alias("root"))
-        left = groups.withColumn("root", F.col("key"))
+        texts = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(text_col)).alias("ref"), F.col(text_col).alias("text"))
+        self.rows = written(texts.mapInArrow(_first_pass(width), "doc_id long, ref long, n long, key long, bits array<long>, cols array<long>"), "rows")
+        #: key, rep (least id), ref (of a row with columns), n, bits: each class with columns
+        classes = self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("cols").isNotNull(), F.col("ref"))).alias("ref"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        self.classes = written(classes, "classes")
+
+    def columns(self, wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted`` (key, ref, ...) and ``cols``; only rows of
+        their refs are shuffled."""
+        cols = self.rows.filter("cols IS NOT NULL").select("ref", F.col("key").alias("__key"), "cols")
+        return narrowed(cols, wanted, "ref").filter("key = __key").drop("__key", "ref")
+
+    def entries(self) -> DataFrame:
+        """key, n, pos, col: what each class puts forward at first."""
+        p = self.bounds.prefix_sql()
+        first = F.expr(f"slice(cols, 1, cast(least(n, {p} + {p} div 4 + {SPARE}) as int))")
+        return self.rows.filter("cols IS NOT NULL").select("key", "n", F.posexplode(first).alias("pos", "col"))
+
+    def groups(self) -> tuple[DataFrame, DataFrame]:
+        """(key, n, pos, col) of columns that several classes put forward, and
+        (col, df) of those that too many do."""
+        p, entries = self.bounds.prefix_sql(), self.entries()
+        # written, so that the join can split a column that very many classes have
+        shared = written(entries.groupBy("col").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("col"), "shared")
+        found = written(narrowed(entries, shared, "col", COLUMN_FILTER_BITS).distinct(), "groups")
+        sizes = self.classes.select("key", "ref", "n", F.expr(f"least(n, {p} + {p} div 4 + {SPARE})").alias("e"))
+        longer = None
+        while True:
+            hot = written(found.groupBy("col").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > HOT), "hot")
+            hots = found.join(hot.select("col"), "col", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("hots"))
+            state = hots.join(sizes, "key")
+            if longer is not None:
+                state = state.join(longer.withColumnRenamed("e", "longer"), "key", "left").withColumn("e", F.coalesce("longer", "e")).drop("longer")
+            lacking = written(state.filter(f"e < n AND e - hots < {p}").withColumn("more", F.expr(f"least(n, e + ({p} - e + hots) * 3 * e div (2 * greatest(1, e - hots)) + {SPARE})")), "lacking")
+            if lacking.isEmpty():
+                return found, hot
+            added = self.columns(lacking.select("key", "ref", "n", "e", "more")).select("key", "n", "e", F.posexplode(F.expr("slice(cols, cast(e as int) + 1, cast(more - e as int))")).alias("pos", "col"))
+            added = written(added.select("key", "n", (F.col("e") + F.col("pos")).cast("int").alias("pos"), "col").distinct(), "added")
+            met = narrowed(entries, added.select("col").distinct(), "col", COLUMN_FILTER_BITS).select("key", "n", "pos", "col")
+            found = written(found.select("key", "n", "pos", "col").unionByName(met).unionByName(added).distinct(), "groups")
+            ends = lacking.select("key", F.col("more").alias("e"))
+            longer = written(ends if longer is None else longer.join(ends, "key", "left_anti").unionByName(ends), "longer")
+
+    def prefixes(self) -> DataFrame:
+        """col, key, n, rank, early: the entries in which linked classes meet,
+        ranked in the order of columns."""
+        found, hot = self.groups()
+        marked = found.join(hot, "col", "left")
+        own, last = Window.partitionBy("key"), F.col("df").isNotNull()
+        before = F.count("df").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        tail = F.col("n") - F.count("df").over(own) + F.row_number().over(own.orderBy(F.col("df").asc_nulls_last(), "col")) - 1
+        ranked = marked.withColumn("rank", F.when(last, tail).otherwise(F.col("pos") - before)).filter(f"rank < {self.bounds.prefix_sql()}")
+        # only a class that has put forward all of its columns gets ranks for hot ones that are below its prefix
+        return ranked.select("col", "key", "n", "rank", F.expr(self.bounds.early_sql()).alias("early"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of ``pairs`` (root_a, root_b, a, b, na, nb) those whose overlap reaches the bound, as (a, b) of their roots."""
+        needed = self.bounds.needed_sql()
+        cut = written(pairs.withColumn("nb_", F.expr(f"cast(pow(2, greatest(0, ceil(log2(greatest(na, nb) / {RANGE}.0)))) as int)")), "cut")
+        wanted = cut.select(F.col("a").alias("key"), "nb_").unionByName(cut.select(F.col("b").alias("key"), "nb_")).distinct().join(self.classes.select("key", "ref"), "key")
+        wanted = written(wanted.withColumnRenamed("nb_", "nb"), "wanted")
+        blocks = self.columns(wanted).dropDuplicates(["key", "nb"]).select("key", "nb", "cols").mapInArrow(_blocks, "key long, nb int, blk int, part array<long>")
+        blocks = written(blocks, "blocks")
+
+        def product(of: DataFrame, own: DataFrame) -> DataFrame:
+            x, y = (own.select(F.col("key").alias(s), F.col("nb").alias("nb_"), "blk", F.col("part").alias(f"x{s}")) for s in "ab")
+            return of.join(x, ["a", "nb_", "blk"]).join(y, ["b", "nb_", "blk"]).withColumn("both", F.expr("size(array_intersect(xa, xb))"))
+
+        first = product(cut.withColumn("blk", F.lit(0)), blocks.filter("blk = 0")).filter(f"both + least(na - size(xa), nb - size(xb)) >= {needed}")
+        first = written(first.select("root_a", "root_b", "a", "b", "na", "nb", "nb_", "both"), "first")
+        rest = product(first.filter("nb_ > 1").drop("both").withColumn("blk", F.expr("explode(sequence(1, nb_ - 1))")), blocks.filter("blk > 0"))
+        sums = rest.select("root_a", "root_b", "a", "b", "na", "nb", "both").unionByName(first.filter("nb_ > 1").drop("nb_")).groupBy("root_a", "root_b", "a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+        done = first.filter("nb_ = 1").drop("nb_").unionByName(sums.withColumn("both", F.col("both").cast("int")))
+        return done.filter(f"both >= {needed}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+
+    def met_one(self, left: DataFrame, turn: int) -> DataFrame:
+        """Each class of a column's group and one of them."""
+        order = F.struct(~F.col("early"), F.xxhash64("key", F.lit(turn)))
+        hub = left.groupBy("col").agg(F.min_by(F.struct("key", "root", "n", "rank"), order).alias("hub"))
+        names = {"root_a": "hub.root", "root_b": "root", "a": "hub.key", "b": "key", "na": "hub.n", "nb": "n", "ra": "hub.rank", "rb": "rank"}
+        return left.join(hub, "col").filter("root <> hub.root").select(*(F.col(c).alias(s) for s, c in names.items()))
+
+    def met_rest(self, left: DataFrame) -> DataFrame:
+        """Each class outside the largest component of a column's group and the
+        others of it; of two entries one must be early."""
+        by_root = left.groupBy("col", "root").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("early"))
+        largest = written(by_root.groupBy("col").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.max("early").alias("has_early")).filter("has_early").drop("has_early"), "largest")
+        tagged = left.join(largest, "col").withColumn("out", F.expr("root <> largest"))
+        x = tagged.filter("out").withColumn("met", F.expr("explode(if(early, array(true, false), array(true)))")).select("col", "met", *(F.col(c).alias(s) for s, c in {"root_a": "root", "a": "key", "na": "n", "ra": "rank"}.items()))
+        y = tagged.select("col", F.col("early").alias("met"), "out", *(F.col(c).alias(s) for s, c in {"root_b": "root", "b": "key", "nb": "n", "rb": "rank"}.items()))
+        return x.join(y, ["col", "met"]).filter("root_a <> root_b AND (NOT out OR a < b)").drop("col", "met", "out")
+
+    def components(self) -> DataFrame:
+        """node, root: the component of each class that links with another."""
+        left = written(self.prefixes().withColumn("root", F.col("key")), "left")
+        bits = self.classes.select("key", "bits")
+        x, y = (bits.select(F.col("key").alias(s), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+        found = []
         for turn in range(TURNS + 1):
-            if turn < TURNS:
-                order = F.xxhash64("key", F.lit(turn))
-                first = left.groupBy("mark").agg(F.min_by("key", order).alias("a"), F.min_by("root", order).alias("root_a"))
-                met = left.join(first, "mark").filter("root <> root_a").select("root_a", F.col("root").alias("root_b"), "a", F.col("key").alias("b")).distinct()
-                x, y = (sizes.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
-                met = met.join(x, "a").join(y, "b").filter(self.allowed())
-            else:
-                whole = left.join(sizes, "key")
-                x, y = (whole.select("mark", F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
-                met = x.join(y, "mark").filter(f"root_a < root_b AND {self.allowed()}")
-            pairs = written(met.select("root_a", "root_b", "a", "b").distinct(), "pairs")
+            met = self.met_one(left, turn) if turn < TURNS else self.met_rest(left)
+            met = met.filter(self.bounds.reached_sql()).select("root_a", "root_b", "a", "b", "na", "nb").distinct()
+            pairs = written(met.join(x, "a").join(y, "b").filter(self.bounds.close_sql()).drop("bits_a", "bits_b"), "pairs")
             if pairs.isEmpty():
-                if turn < TURNS:
-                    continue
-                break
-            joined = components(self.links(pairs, sets)).select(F.col("node").alias("root"), F.col("root").alias("least"))
-            roots = written(roots.join(joined, "root", "left").select("key", F.coalesce("least", "root").alias("root")), "roots")
+                continue
+            links = written(self.links(pairs), "links")
+            found.append(links)
             if turn < TURNS:
-                moved = left.join(joined, "root", "left").select("mark", "key", F.coalesce("least", "root").alias("root"))
-                still = moved.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("mark")
-                left = written(moved.join(still, "mark", "left_semi"), "left")
-        return roots
+                joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("least"))
+                moved = left.join(joined, "root", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
+                still = moved.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col")
+                left = written(moved.join(still, "col", "left_semi"), "left")
+        if not found:
+            return self.classes.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
+        edges = found[0]
+        for more in found[1:]:
+            edges = edges.unionByName(more)
+        return components(edges)
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, one row for each input row."""
-        classes = written(self.classes(), "classes")
-        named = self.roots(classes).join(classes.select("key", "rep"), "key")
+        named = self.components().withColumnRenamed("node", "key").join(self.classes.select("key", "rep"), "key")
         least = named.groupBy("root").agg(F.min("rep").alias("component"))
         joined = named.join(least, "root").select("key", "component")
         # written, so that the join can split a class of very many copies
-        ids = written(classes.select("key", "rep").join(joined, "key", "left").select("key", F.coalesce("component", "rep").alias("component")), "ids")
+        ids = written(self.classes.select("key", "rep").join(joined, "key", "left").select("key", F.coalesce("component", "rep").alias("component")), "ids")
         own = self.rows.select("doc_id", "n", "key")
         return own.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -75,22 +75,83 @@ def test_bounds(num):
                 break
             need = bounds.needed(n, k)
             assert 100 * need >= num * (n + k - need) and 100 * (need - 1) < num * (n + k - need + 1)
-            shared = {b[0] for b in bounds.bands(n)} & {b[0] for b in bounds.bands(k)}
-            assert any(bounds.blocks(b) > bounds.differing(n + k) for b in shared)
+            # what linked classes leave out of their prefixes can't hold the whole overlap
+            assert n - bounds.prefix(n) < need and k - bounds.prefix(k) < need
+            # the smaller class meets the larger in the earlier half of its prefix
+            assert all((num + 100) * (n - r) >= 2 * num * n for r in range(n - need + 1))
 
 
-def test_bitmaps_and_overlaps():
+def test_bitmaps_and_blocks():
     import numpy as np
 
     rng = np.random.default_rng(4)
     for _ in range(200):
-        pool = rng.integers(0, 2**63, 900, dtype=np.uint64)
+        pool = rng.integers(0, 2**64, 900, dtype=np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 800))) for _ in range(2))
         common = len(np.intersect1d(a, b))
         apart = sum(int(x).bit_count() for x in (m.bitmap(a) ^ m.bitmap(b)).view(np.uint64))
         assert apart <= len(a) + len(b) - 2 * common
-        assert m.overlaps(a, b, 0) == common
-        assert m.overlaps(a, b, common) == common and m.overlaps(a, b, common + 1) <= common
+        for blocks in (1, 2, 8, 64):
+            parts = [np.split(x, m.blocks_of(x, blocks)[:-1]) for x in (a, b)]
+            assert all(len(p) == blocks for p in parts) and sum(len(np.intersect1d(x, y)) for x, y in zip(*parts)) == common
+
+
+def template(rnd, n, words, kept):
+    """Texts that share a template but for words of their own."""
+    base = [f"t{i}" for i in range(words)]
+    return [" ".join(w if rnd.random() < kept else f"x{i}.{j}" for j, w in enumerate(base)) for i in range(n)]
+
+
+@pytest.mark.parametrize("kept, num", [(0.93, 90), (0.985, 90), (0.97, 80)])
+def test_templates_are_brute_forces(spark, monkeypatch, kept, num):
+    """Groups far above ``HOT``, some of whose pairs are linked."""
+    monkeypatch.setattr(m, "HOT", 5)
+    rnd = random.Random(kept)
+    texts = template(rnd, 60, 150, kept) + families(5)[:60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in m.similar(df, width=3, num=num, den=100).collect()}
+    roots, _ = brute(texts, 3, num, 100)
+    least = {}
+    for i, r in enumerate(roots):
+        least[r] = min(least.get(r, i), i)
+    assert found == {i: least[r] for i, r in enumerate(roots)}
+
+
+def test_boilerplate_is_brute_forces(spark, monkeypatch):
+    """Texts all of whose columns are shared by many."""
+    monkeypatch.setattr(m, "HOT", 4)
+    rnd = random.Random(8)
+    lines = [" ".join(f"l{i}.{j}" for j in range(12)) for i in range(14)]
+    texts = [" ".join(rnd.sample(lines, rnd.choice([3, 9, 10]))) for _ in range(60)]
+    texts += [" ".join(sorted(rnd.sample(lines, rnd.choice([9, 10, 11, 12])))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in m.similar(df, width=3, num=80, den=100).collect()}
+    roots, _ = brute(texts, 3, 80, 100)
+    least = {}
+    for i, r in enumerate(roots):
+        least[r] = min(least.get(r, i), i)
+    assert found == {i: least[r] for i, r in enumerate(roots)}
+
+
+def test_pairs_of_a_template_grow_with_its_texts(spark):
+    """Texts of one template that differ enough meet in no column."""
+    sizes = []
+    for n in (200, 600):
+        df = spark.createDataFrame(list(enumerate(template(random.Random(1), n, 120, 0.9))), "doc_id long, text string")
+        join = m.Join(df, width=3, num=90, den=100)
+        entries = join.prefixes()
+        rows = entries.join(entries.groupBy("col").agg(F.count("*").alias("size"), F.max("early").alias("some")).filter("some AND size > 1"), "col")
+        sizes.append(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    assert sizes[1] <= 6 * max(sizes[0], 50)
+
+
+def test_a_very_long_text_is_cut_into_blocks(spark):
+    base = [f"w{i}" for i in range(9000)]
+    near, far = list(base), list(base)
+    near[100:200] = [f"n{i}" for i in range(100)]
+    far[::12] = [f"f{i}" for i in range(len(far[::12]))]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(map(tuple, m.similar(df, width=3, num=90, den=100).select("doc_id", "component_id").collect())) == [(1, 1), (2, 1), (3, 3)]
 
 
 def test_components(spark):
