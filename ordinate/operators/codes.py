@@ -13,36 +13,17 @@ of the survivor after them is the survivor's new code.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .keys import key_list
 
 VALUE_BITS, ARITY = 25, 32
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ordinate-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written in the shared folder and read again: ranges are found by
-    sampling, so they must not be made twice."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _first_difference(keys: Sequence[str], before: str) -> Column:
     """Number of leading keys equal to those in the struct ``before``."""
     out = F.lit(len(keys))
@@ -61,7 +42,8 @@ def derive(df: DataFrame, keys: Sequence[str] | int | None = None, *, tiebreak:
     names = key_list(df, keys)
     order = [*names, *tiebreak]
     ranged = df.repartitionByRange(partitions, *names) if partitions else df.repartitionByRange(*names)
-    placed = _cut(ranged.withColumn("part", F.spark_partition_id()))
+    # written: ranges are found by sampling, so they must not be made twice
+    placed = written(ranged.withColumn("part", F.spark_partition_id()), "ranges")
     lasts = placed.groupBy("part").agg(F.max(_key_struct(names)).alias("last"))
     # one row for each range: their number doesn't grow with the rows
     before = lasts.select((F.row_number().over(Window.orderBy("part")) + 1).alias("nth"), F.col("last").alias("__carried"))

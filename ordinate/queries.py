@@ -6,7 +6,6 @@ place under a total key.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +19,7 @@ from .operators.keys import Split
 from .operators.sort import resort, segment_counts, sort, sort_distinct, sort_run
 from .plans import bushy, intersect_distinct, join_then_group, left_deep, right_deep
 from .sources import generate, runfile
+from .storage import shared_path
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -348,7 +348,7 @@ def check_codes(spark, d):
 @_query("SELECT o_orderkey AS c0, o_custkey AS c1, o_orderkey + 1 AS tid FROM orders")
 def run_file_round_trip(spark, d):
     runfile.register(spark)
-    path = f"{codes.shared_root(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    path = shared_path(spark, "runs")
     rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("c0"), F.col("o_custkey").alias("c1"), (F.col("o_orderkey") + 1).alias("tid"))
     rows.write.format("runfile").mode("append").save(path)
     return spark.read.format("runfile").load(path).select("c0", "c1", "tid")
