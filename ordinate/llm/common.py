@@ -2,50 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordinate.storage import discard, release, shared_path, shared_root, written
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ordinate-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-#: Paths given out by this process.
-_GIVEN: list[str] = []
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    _GIVEN.append(f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _GIVEN[-1]
-
-
-def release(spark: SparkSession) -> int:
-    """Removes what this process has written in the shared folder, once no result
-    that is read from it is needed any more. Returns the number of paths."""
-    done = 0
-    while _GIVEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
-        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return done
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the
-    lineage so that a lost executor costs one re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["as_batch", "components", "crc_bucket", "discard", "large_or_small", "list_array", "narrowed", "release", "screened", "shared_path", "shared_root", "sliced", "written"]
 
 
 def crc_bucket(column, modulus: int):
@@ -142,4 +105,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v")
-        current = written(small.distinct(), "edges")
+        before, current = current, written(small.distinct(), "edges")
+        discard(before)

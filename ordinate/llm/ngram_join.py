@@ -15,14 +15,15 @@ class; a later one only meets classes that have the column in their earlier half
 Order. Columns that more than ``HOT`` classes put forward come last, the rarer
 ones of them first; all others are ordered by hash. Every class puts forward its
 first columns by hash and some to spare; one that has too few others among them
-puts forward more, until it has enough or has no more. So a text of many shared
-passages is found by what few others have, and a column of a template that very
-many classes share makes no pairs of those that differ enough elsewhere.
+puts forward all. So a text of many shared passages is found by what few others
+have, and a column of a template that very many classes share makes no pairs of
+those that differ enough elsewhere.
 
 Large groups. Pairs within a column's group aren't all formed: each class first
-meets one class of its group, ``TURNS`` times another one; what links then is one
-component, and after that only classes outside the group's largest component
-meet others. No link between components can be lost.
+meets one class of its group; what links then is one component, and after that
+only classes outside the group's largest component meet others. If that is still
+much more than the entries, they first meet another one, up to ``TURNS`` times.
+No link between components can be lost.
 
 Product. A parity bitmap of each class, whose Hamming distance never exceeds the
 number of columns that differ, discards candidates first. For the others, columns
@@ -52,14 +53,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, narrowed, sliced, written
+from .common import components, discard, narrowed, sliced, written
 
 #: Longs of a parity bitmap; words whose hashes a worker keeps.
 BITMAP, CACHE = 8, 100_000
 #: Classes from which on a column is ordered behind others; columns that each class puts forward to spare, besides a quarter.
 HOT, SPARE = 32, 8
-#: Times that groups meet one of their classes before pairs are made.
-TURNS = 3
+#: Times, at most, that groups meet one of their classes before the rest meets, and pairs for each entry from which on they do so again.
+TURNS, MANY = 4, 8
 #: Bits of the filter of shared columns (a table of 262,144 rows, 4 MB).
 COLUMN_FILTER_BITS = 1 << 24
 #: Columns of a block of the product, about.
@@ -139,11 +140,11 @@ class Bounds:
 
     def close_sql(self) -> str:
         """Whether bitmaps allow a link."""
-        apart = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP))
+        apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(BITMAP))
         return f"{apart} <= na + nb - 2 * {self.needed_sql()}"
 
 
-_PASS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.list_(pa.int64())), ("cols", pa.list_(pa.int64()))])
+_PASS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("cols", pa.list_(pa.int64())), *((f"b{i}", pa.int64()) for i in range(BITMAP))])
 
 
 def _first_pass(width: int):
@@ -164,34 +165,35 @@ def _first_pass(width: int):
                     met.add(key[-1])
                     cols.append(h.view(np.int64))
                 ends.append(ends[-1] + (0 if known[-1] else len(h)))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits))),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cols) if cols else np.zeros(0, np.int64)), mask=pa.array(known, pa.bool_())),
-            ], schema=_PASS)
+            columns = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cols) if cols else np.zeros(0, np.int64)), mask=pa.array(known, pa.bool_()))
+            longs = (pa.array(np.ascontiguousarray(b)) for b in np.stack(bits).T)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), columns, *longs], schema=_PASS)
 
     return run
 
 
-_BLOCKS = pa.schema([("key", pa.int64()), ("nb", pa.int32()), ("blk", pa.int32()), ("part", pa.list_(pa.int64()))])
+_BLOCKS = pa.schema([("key", pa.int64()), ("cuts", pa.int32()), ("blk", pa.int32()), ("part", pa.list_(pa.int64()))])
 
 
-def blocks_of(columns: np.ndarray, nb: int) -> np.ndarray:
-    """Where the ``nb`` (a power of two) ranges of hashes end in sorted columns."""
-    if nb == 1:
+def blocks_of(columns: np.ndarray, cuts: int) -> np.ndarray:
+    """Where the ``cuts`` (a power of two) ranges of hashes end in sorted columns."""
+    if cuts == 1:
         return np.array([len(columns)])
-    return np.append(np.searchsorted(columns, np.arange(1, nb, dtype=np.uint64) << np.uint64(65 - nb.bit_length())), len(columns))
+    return np.append(np.searchsorted(columns, np.arange(1, cuts, dtype=np.uint64) << np.uint64(65 - cuts.bit_length())), len(columns))
 
 
 def _blocks(batches):
     for batch in sliced(batches, 64):
         lists, offsets = batch.column(2), batch.column(2).offsets.to_numpy()
         flat = lists.values.to_numpy().view(np.uint64)
-        for i, (key, nb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        for i, (key, cuts) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             own = flat[offsets[i] : offsets[i + 1]]
-            ends = np.append(0, blocks_of(own, nb)).astype(np.int32)
+            ends = np.append(0, blocks_of(own, cuts)).astype(np.int32)
             parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(own.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([key] * nb, pa.int64()), pa.array([nb] * nb, pa.int32()), pa.array(range(nb), pa.int32()), parts], schema=_BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * cuts, pa.int64()), pa.array([cuts] * cuts, pa.int32()), pa.array(range(cuts), pa.int32()), parts], schema=_BLOCKS)
+
+
+_BITS = [f"b{i}" for i in range(BITMAP)]
 
 
 class Join:
@@ -201,10 +203,11 @@ class Join:
         self.bounds = Bounds(num, den)
         own = F.col(id_col).cast("long")
         texts = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(text_col)).alias("ref"), F.col(text_col).alias("text"))
-        self.rows = written(texts.mapInArrow(_first_pass(width), "doc_id long, ref long, n long, key long, bits array<long>, cols array<long>"), "rows")
-        #: key, rep (least id), ref (of a row with columns), n, bits: each class with columns
-        classes = self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("cols").isNotNull(), F.col("ref"))).alias("ref"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-        self.classes = written(classes, "classes")
+        shape = "doc_id long, ref long, n long, key long, cols array<long>, " + ", ".join(f"{b} long" for b in _BITS)
+        self.rows = written(texts.mapInArrow(_first_pass(width), shape), "rows")
+        #: key, rep (least id), ref (of a row with columns), n, bitmap: each class with columns
+        firsts = (F.first(c).alias(c) for c in ("n", *_BITS))
+        self.classes = written(self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("cols").isNotNull(), F.col("ref"))).alias("ref"), *firsts), "classes")
 
     def columns(self, wanted: DataFrame) -> DataFrame:
         """The rows of ``wanted`` (key, ref, ...) and ``cols``; only rows of
@@ -212,36 +215,36 @@ class Join:
         cols = self.rows.filter("cols IS NOT NULL").select("ref", F.col("key").alias("__key"), "cols")
         return narrowed(cols, wanted, "ref").filter("key = __key").drop("__key", "ref")
 
+    def first_sql(self) -> str:
+        """How many columns a class of size ``n`` puts forward at first."""
+        p = self.bounds.prefix_sql()
+        return f"least(n, {p} + {p} div 4 + {SPARE})"
+
     def entries(self) -> DataFrame:
         """key, n, pos, col: what each class puts forward at first."""
-        p = self.bounds.prefix_sql()
-        first = F.expr(f"slice(cols, 1, cast(least(n, {p} + {p} div 4 + {SPARE}) as int))")
+        first = F.expr(f"slice(cols, 1, cast({self.first_sql()} as int))")
         return self.rows.filter("cols IS NOT NULL").select("key", "n", F.posexplode(first).alias("pos", "col"))
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(key, n, pos, col) of columns that several classes put forward, and
         (col, df) of those that too many do."""
-        p, entries = self.bounds.prefix_sql(), self.entries()
+        entries = self.entries()
         # written, so that the join can split a column that very many classes have
         shared = written(entries.groupBy("col").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("col"), "shared")
-        found = written(narrowed(entries, shared, "col", COLUMN_FILTER_BITS).distinct(), "groups")
-        sizes = self.classes.select("key", "ref", "n", F.expr(f"least(n, {p} + {p} div 4 + {SPARE})").alias("e"))
-        longer = None
+        found = written(narrowed(entries, shared, "col", COLUMN_FILTER_BITS).distinct().select("key", "n", "pos", "col"), "groups")
+        whole = self.classes.limit(0).select("key")
         while True:
             hot = written(found.groupBy("col").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > HOT), "hot")
-            hots = found.join(hot.select("col"), "col", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("hots"))
-            state = hots.join(sizes, "key")
-            if longer is not None:
-                state = state.join(longer.withColumnRenamed("e", "longer"), "key", "left").withColumn("e", F.coalesce("longer", "e")).drop("longer")
-            lacking = written(state.filter(f"e < n AND e - hots < {p}").withColumn("more", F.expr(f"least(n, e + ({p} - e + hots) * 3 * e div (2 * greatest(1, e - hots)) + {SPARE})")), "lacking")
+            hots = found.join(hot.select("col"), "col", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("hots"), F.first("n").alias("n"))
+            lacking = hots.filter(f"{self.first_sql()} < n AND {self.first_sql()} - hots < {self.bounds.prefix_sql()}").join(whole, "key", "left_anti")
+            lacking = written(lacking.select("key", "n").join(self.classes.select("key", "ref"), "key"), "lacking")
             if lacking.isEmpty():
                 return found, hot
-            added = self.columns(lacking.select("key", "ref", "n", "e", "more")).select("key", "n", "e", F.posexplode(F.expr("slice(cols, cast(e as int) + 1, cast(more - e as int))")).alias("pos", "col"))
-            added = written(added.select("key", "n", (F.col("e") + F.col("pos")).cast("int").alias("pos"), "col").distinct(), "added")
+            added = written(self.columns(lacking).select("key", "n", F.posexplode("cols").alias("pos", "col")).distinct(), "added")
             met = narrowed(entries, added.select("col").distinct(), "col", COLUMN_FILTER_BITS).select("key", "n", "pos", "col")
-            found = written(found.select("key", "n", "pos", "col").unionByName(met).unionByName(added).distinct(), "groups")
-            ends = lacking.select("key", F.col("more").alias("e"))
-            longer = written(ends if longer is None else longer.join(ends, "key", "left_anti").unionByName(ends), "longer")
+            before, found = found, written(found.unionByName(met).unionByName(added).distinct(), "groups")
+            discard(before, added, hot)
+            whole = whole.unionByName(lacking.select("key"))
 
     def prefixes(self) -> DataFrame:
         """col, key, n, rank, early: the entries in which linked classes meet,
@@ -256,24 +259,26 @@ class Join:
         return ranked.select("col", "key", "n", "rank", F.expr(self.bounds.early_sql()).alias("early"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs`` (root_a, root_b, a, b, na, nb) those whose overlap reaches the bound, as (a, b) of their roots."""
+        """Of ``pairs`` (root, key, n and ref of a and b, cuts) those whose
+        overlap reaches the bound, as (a, b) of their roots."""
         needed = self.bounds.needed_sql()
-        cut = written(pairs.withColumn("nb_", F.expr(f"cast(pow(2, greatest(0, ceil(log2(greatest(na, nb) / {RANGE}.0)))) as int)")), "cut")
-        wanted = cut.select(F.col("a").alias("key"), "nb_").unionByName(cut.select(F.col("b").alias("key"), "nb_")).distinct().join(self.classes.select("key", "ref"), "key")
-        wanted = written(wanted.withColumnRenamed("nb_", "nb"), "wanted")
-        blocks = self.columns(wanted).dropDuplicates(["key", "nb"]).select("key", "nb", "cols").mapInArrow(_blocks, "key long, nb int, blk int, part array<long>")
-        blocks = written(blocks, "blocks")
+        sides = (pairs.select(F.col(s).alias("key"), F.col(f"ref_{s}").alias("ref"), "cuts") for s in "ab")
+        wanted = next(sides).unionByName(next(sides)).distinct()
+        blocks = written(self.columns(wanted).select("key", "cuts", "cols").mapInArrow(_blocks, "key long, cuts int, blk int, part array<long>").dropDuplicates(["key", "cuts", "blk"]), "blocks")
 
         def product(of: DataFrame, own: DataFrame) -> DataFrame:
-            x, y = (own.select(F.col("key").alias(s), F.col("nb").alias("nb_"), "blk", F.col("part").alias(f"x{s}")) for s in "ab")
-            return of.join(x, ["a", "nb_", "blk"]).join(y, ["b", "nb_", "blk"]).withColumn("both", F.expr("size(array_intersect(xa, xb))"))
-
-        first = product(cut.withColumn("blk", F.lit(0)), blocks.filter("blk = 0")).filter(f"both + least(na - size(xa), nb - size(xb)) >= {needed}")
-        first = written(first.select("root_a", "root_b", "a", "b", "na", "nb", "nb_", "both"), "first")
-        rest = product(first.filter("nb_ > 1").drop("both").withColumn("blk", F.expr("explode(sequence(1, nb_ - 1))")), blocks.filter("blk > 0"))
-        sums = rest.select("root_a", "root_b", "a", "b", "na", "nb", "both").unionByName(first.filter("nb_ > 1").drop("nb_")).groupBy("root_a", "root_b", "a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-        done = first.filter("nb_ = 1").drop("nb_").unionByName(sums.withColumn("both", F.col("both").cast("int")))
-        return done.filter(f"both >= {needed}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+            x, y = (own.select(F.col("key").alias(s), "cuts", "blk", F.col("part").alias(f"x{s}")) for s in "ab")
+            return of.join(x, ["a", "cuts", "blk"]).join(y, ["b", "cuts", "blk"]).withColumn("both", F.expr("size(array_intersect(xa, xb))"))
+
+        pair = ["root_a", "root_b", "a", "b", "na", "nb"]
+        first = product(pairs.withColumn("blk", F.lit(0)), blocks.filter("blk = 0")).filter(f"both + least(na - size(xa), nb - size(xb)) >= {needed}")
+        first = written(first.select(*pair, "cuts", "both"), "first")
+        rest = product(first.filter("cuts > 1").drop("both").withColumn("blk", F.expr("explode(sequence(1, cuts - 1))")), blocks.filter("blk > 0"))
+        sums = rest.select(*pair, "both").unionByName(first.filter("cuts > 1").select(*pair, "both")).groupBy(*pair).agg(F.sum("both").cast("int").alias("both"))
+        done = first.filter("cuts = 1").select(*pair, "both").unionByName(sums)
+        links = written(done.filter(f"both >= {needed}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+        discard(blocks, first)
+        return links
 
     def met_one(self, left: DataFrame, turn: int) -> DataFrame:
         """Each class of a column's group and one of them."""
@@ -282,37 +287,46 @@ class Join:
         names = {"root_a": "hub.root", "root_b": "root", "a": "hub.key", "b": "key", "na": "hub.n", "nb": "n", "ra": "hub.rank", "rb": "rank"}
         return left.join(hub, "col").filter("root <> hub.root").select(*(F.col(c).alias(s) for s, c in names.items()))
 
-    def met_rest(self, left: DataFrame) -> DataFrame:
+    def met_rest(self, left: DataFrame, largest: DataFrame) -> DataFrame:
         """Each class outside the largest component of a column's group and the
         others of it; of two entries one must be early."""
-        by_root = left.groupBy("col", "root").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("early"))
-        largest = written(by_root.groupBy("col").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.max("early").alias("has_early")).filter("has_early").drop("has_early"), "largest")
-        tagged = left.join(largest, "col").withColumn("out", F.expr("root <> largest"))
+        tagged = left.join(largest.select("col", "largest"), "col").withColumn("out", F.expr("root <> largest"))
         x = tagged.filter("out").withColumn("met", F.expr("explode(if(early, array(true, false), array(true)))")).select("col", "met", *(F.col(c).alias(s) for s, c in {"root_a": "root", "a": "key", "na": "n", "ra": "rank"}.items()))
         y = tagged.select("col", F.col("early").alias("met"), "out", *(F.col(c).alias(s) for s, c in {"root_b": "root", "b": "key", "nb": "n", "rb": "rank"}.items()))
         return x.join(y, ["col", "met"]).filter("root_a <> root_b AND (NOT out OR a < b)").drop("col", "met", "out")
 
+    def largest(self, left: DataFrame) -> DataFrame:
+        """col, largest, pairs: the largest component of each column's group that
+        may still link others, and how many pairs that makes."""
+        by_root = left.groupBy("col", "root").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("early"))
+        groups = by_root.groupBy("col").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("rows"), F.max("early").alias("has_early"))
+        return written(groups.filter("has_early AND rows > most.rows").select("col", F.col("most.root").alias("largest"), F.expr("(rows - most.rows) * rows").alias("pairs")), "largest")
+
+    def pairs(self, met: DataFrame) -> DataFrame:
+        """The pairs that sizes, ranks and bitmaps allow, and their number of blocks."""
+        met = met.filter(self.bounds.reached_sql()).select("root_a", "root_b", "a", "b", "na", "nb").distinct()
+        x, y = (self.classes.select(F.col("key").alias(s), F.col("ref").alias(f"ref_{s}"), *(F.col(b).alias(f"{s}{i}") for i, b in enumerate(_BITS))) for s in "ab")
+        cuts = F.expr(f"cast(pow(2, greatest(0, ceil(log2(greatest(na, nb) / {RANGE}.0)))) as int)").alias("cuts")
+        return written(met.join(x, "a").join(y, "b").filter(self.bounds.close_sql()).select("root_a", "root_b", "a", "b", "na", "nb", "ref_a", "ref_b", cuts), "pairs")
+
     def components(self) -> DataFrame:
         """node, root: the component of each class that links with another."""
-        left = written(self.prefixes().withColumn("root", F.col("key")), "left")
-        bits = self.classes.select("key", "bits")
-        x, y = (bits.select(F.col("key").alias(s), F.col("bits").alias(f"bits_{s}")) for s in "ab")
-        found = []
-        for turn in range(TURNS + 1):
-            met = self.met_one(left, turn) if turn < TURNS else self.met_rest(left)
-            met = met.filter(self.bounds.reached_sql()).select("root_a", "root_b", "a", "b", "na", "nb").distinct()
-            pairs = written(met.join(x, "a").join(y, "b").filter(self.bounds.close_sql()).drop("bits_a", "bits_b"), "pairs")
-            if pairs.isEmpty():
-                continue
-            links = written(self.links(pairs), "links")
+        left, found, turn = written(self.prefixes().withColumn("root", F.col("key")), "left"), [], 0
+        while True:
+            links = self.links(self.pairs(self.met_one(left, turn)))
             found.append(links)
-            if turn < TURNS:
-                joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("least"))
-                moved = left.join(joined, "root", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
-                still = moved.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col")
-                left = written(moved.join(still, "col", "left_semi"), "left")
-        if not found:
-            return self.classes.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
+            joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("least"))
+            moved = left.join(joined, "root", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
+            before, moved = left, written(moved, "left")
+            largest = self.largest(moved)
+            left = written(moved.join(largest.select("col"), "col", "left_semi"), "left")
+            discard(before, moved)
+            todo = largest.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+            turn += 1
+            if turn == TURNS or todo <= MANY * max(1, left.count()):
+                break
+        if todo:
+            found.append(self.links(self.pairs(self.met_rest(left, largest))))
         edges = found[0]
         for more in found[1:]:
             edges = edges.unionByName(more)

@@ -444,18 +444,6 @@ def _answer(n: int):
     return run
 
 
-def _swept(df: DataFrame, name: str) -> DataFrame:
-    """``written``; the shuffle files go at once, not when the driver happens to
-    collect its garbage."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return written(df, name)
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
-
-
 class Scorer:
     """A corpus, what its blocks have learned from its training texts, and the scores."""
 
@@ -467,7 +455,7 @@ class Scorer:
         blocks, self.n = self.known[0].agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.parts, self.v = max(spark.sparkContext.defaultParallelism, blocks // 2), 0
         for step in range(1, 5):
-            answers = _swept(self._blocks(step, _ROWS).groupBy("kind", "part").applyInArrow(_answer(self.n), _ROWS), "answers")
+            answers = written(self._blocks(step, _ROWS).groupBy("kind", "part").applyInArrow(_answer(self.n), _ROWS), "answers")
             if step == 1:
                 self.v = answers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             self.known.append(answers)
