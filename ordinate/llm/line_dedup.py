@@ -2,27 +2,36 @@
 
 A first pass sets each line key's bits in a filter of keys seen once and, where
 the bits are set already, in a filter of keys seen twice. The filters of all
-tasks are merged: what two tasks have both seen once has been seen twice. A
-second pass sends only those lines on that the second filter knows; their exact
-text is then counted, and the document that keeps them is chosen. A filter may
-suspect too many lines, never too few, so that the result is exact.
+tasks are merged, piece by piece and in two levels: what two tasks have both seen
+once has been seen twice. A second pass sends only those lines on that the second
+filter knows; their exact text is then counted, and the document that keeps them
+is chosen. A filter may suspect too many lines, never too few, so that the result
+is exact. Only documents that lose a line, and few that a filter of ids mistakes
+for them, are shuffled to meet their lost lines; all others stay where they lie.
 
 Defined results: a null or empty text is one empty line; a null text stays null.
 Documents are told apart by id; rows that repeat an id are treated alike, and
 rows with a null id count as no document and keep nothing that others keep.
-Extra columns pass through unchanged, whatever their names. Ties can't happen:
-a line stays in the largest id that holds it.
+Extra columns pass through unchanged, whatever their names (but names that begin
+with two underscores). Ties can't happen: a line stays in the largest id that
+holds it. Very long texts, also with very many lost lines, take time in
+proportion to their lines.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import as_batch, sliced, written
+from .common import as_batch, large_or_small, screened, sliced, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,6 +41,10 @@ BITS_A_DOC, LEAST_BITS, MOST_BITS = 256, 1 << 20, 1 << 27
 PIECES = 64
 
 
+def key_of(line: str) -> str:
+    return line.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").strip(SPACE)
+
+
 def line_keys(text: str | None, min_chars: int) -> set[str]:
     """Keys of at least ``min_chars`` characters of a text's lines."""
     if not text:
@@ -44,6 +57,12 @@ def hashes(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
 
 
+def line_hash(key: str) -> int:
+    """A key's hash as a signed number, as the shuffles have it."""
+    h = xxhash.xxh3_64_intdigest(key)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def bit_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places of each hash in a filter of ``bits`` (a power of two) bits."""
     return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
@@ -64,7 +83,7 @@ class Filter:
         return (self.data[a >> 3] >> (a & 7).astype(np.uint8)) & (self.data[b >> 3] >> (b & 7).astype(np.uint8)) & np.uint8(1) == 1
 
 
-_PIECES = pa.schema([("piece", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+_PIECES = pa.schema([("piece", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
 def _fill(bits: int, min_chars: int):
@@ -76,46 +95,51 @@ def _fill(bits: int, min_chars: int):
             twice.add(own[(counts > 1) | once.has(own)])
             once.add(own)
         if any_row:
-            parts = [[x.tobytes() for x in np.array_split(f.data, PIECES)] for f in (once, twice)]
-            yield as_batch(_PIECES, list(range(PIECES)), *parts)
+            # mostly empty, so that they pack well
+            parts = [[zstandard.compress(x.tobytes(), 1) for x in np.array_split(f.data, PIECES)] for f in (once, twice)]
+            yield as_batch(_PIECES, list(range(PIECES)), [TaskContext.get().partitionId()] * PIECES, *parts)
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
     once = twice = None
-    for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist()):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    for packed in zip(table.column("once"), table.column("twice")):
+        a, b = (np.frombuffer(zstandard.decompress(x.as_py()), np.uint8) for x in packed)
         once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    return pa.Table.from_pydict({"piece": [table.column("piece")[0].as_py()], "once": [b""], "twice": [twice.tobytes()]}, _PIECES)
+    return pa.Table.from_pydict({"piece": [table.column("piece")[0].as_py()], "part": [table.column("part")[0].as_py()], "once": [zstandard.compress(once.tobytes(), 1)], "twice": [zstandard.compress(twice.tobytes(), 1)]}, _PIECES)
 
 
 def seen_twice(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The filter of keys that more than one document may hold (``bits`` bits,
-    so the driver gets at most ``MOST_BITS``). One filter pair for each core,
-    however many partitions there are."""
-    spark, kind = texts.sparkSession, "piece int, once binary, twice binary"
-    filled = texts.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_fill(bits, min_chars), kind)
-    rows = {r.piece: r.twice for r in filled.groupBy("piece").applyInArrow(_merge, kind).select("piece", "twice").collect()}
+    so the driver gets at most ``MOST_BITS``). Each task's pieces meet those of
+    a few other tasks first, so that no task merges those of all."""
+    kind = "piece int, part int, once binary, twice binary"
+    filled = texts.mapInArrow(_fill(bits, min_chars), kind)
+    few = max(1, math.isqrt(texts.rdd.getNumPartitions()))
+    met = filled.withColumn("part", F.pmod("part", F.lit(few))).groupBy("piece", "part").applyInArrow(_merge, kind)
+    rows = {r.piece: zstandard.decompress(r.twice) for r in met.groupBy("piece").applyInArrow(_merge, kind).select("piece", "twice").collect()}
     sizes = [len(x) for x in np.array_split(np.zeros(bits // 8, np.uint8), PIECES)]
     return np.concatenate([np.frombuffer(rows[i], np.uint8) if i in rows else np.zeros(n, np.uint8) for i, n in enumerate(sizes)])
 
 
-_SUSPECTS = pa.schema([("doc_id", pa.int64()), ("key", pa.string())])
+_SUSPECTS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("line", pa.int64()), ("key", pa.string())])
 
 
 def _screen(twice, bits: int, min_chars: int):
     def run(batches):
         known = Filter(bits, twice.value)
         for batch in sliced(batches, 1024):
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, keys = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 own = list(line_keys(text, min_chars))
-                ids += [doc_id] * len(own)
+                rows += [i] * len(own)
                 keys += own
-            at = np.flatnonzero(known.has(hashes(keys)))
+            h = hashes(keys)
+            at = np.flatnonzero(known.has(h))
             if len(at):
-                yield as_batch(_SUSPECTS, [ids[i] for i in at], [keys[i] for i in at])
+                docs = pa.array(np.array(rows)[at])
+                yield as_batch(_SUSPECTS, batch.column(0).take(docs), batch.column(1).take(docs), h[at].view(np.int64), [keys[i] for i in at])
 
     return run
 
@@ -124,33 +148,56 @@ def filter_bits(n_docs: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, n_docs * BITS_A_DOC - 1).bit_length()))
 
 
+def _ref(id_col: str, text_col: str):
+    """What a row's lost lines are joined on: its id or, without one, its text's hash."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+
+
 def repeated_lines(docs: DataFrame, *, min_docs: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, keeper: documents that lose a line, and who keeps it."""
+    """key, doc_id, ref, line (the key's hash), keeper: documents that lose a
+    line, and who keeps it."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _ref(id_col, text_col).alias("ref"), F.col(text_col).alias("text"))
     bits = filter_bits(rows.count())
     twice = spark.sparkContext.broadcast(seen_twice(rows.select("text"), bits, min_chars))
-    suspects = written(rows.mapInArrow(_screen(twice, bits, min_chars), "doc_id long, key string"), "suspects")
+    suspects = written(rows.mapInArrow(_screen(twice, bits, min_chars), "doc_id long, ref long, line long, key string"), "suspects")
     # written, so that the join below can split a key that very many documents hold
     confirmed = written(suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).select("key", "keeper"), "confirmed")
     return suspects.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
 
 
-def line_key(line):
-    """The same key as ``line_keys`` makes, as a Spark column."""
-    return F.btrim(F.translate(line, UPPER, LOWER), F.lit(SPACE))
+def _without(at: int, names: list[str]):
+    """Texts (column ``at``) without the lines whose hashes the last column holds."""
+
+    def run(batches):
+        for batch in sliced(batches, 256):
+            texts, counts, dropped = [], [], []
+            for text, lost in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                lines, own = (text or "").split("\n"), set(lost or ())
+                kept = [x for x in lines if not own or line_hash(key_of(x)) not in own]
+                texts.append(text if len(kept) == len(lines) else "\n".join(kept))
+                counts.append(len(lines))
+                dropped.append(len(lines) - len(kept))
+            columns = [large_or_small(c) for c in batch.columns[:-1]]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=names)
+
+    return run
 
 
-def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """All columns of ``docs``, the text without lines that its document loses,
-    and ``n_lines`` (before) and ``n_dropped``, which replace columns so named."""
+    and ``lines_col`` (before) and ``dropped_col``, which replace columns so named."""
     lost = repeated_lines(docs, min_docs=min_docs, min_chars=min_chars, id_col=id_col, text_col=text_col)
-    drops = lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.xxhash64("key")).alias("__drops"))
-    joined = docs.join(drops, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    stay = F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("__drops"), F.xxhash64(line_key(x))))
-    counted = joined.withColumn("__kept", F.when(F.col("__drops").isNotNull(), stay)).withColumn("n_lines", F.size(lines).cast("long"))
-    return counted.withColumns({"n_dropped": F.coalesce(F.col("n_lines") - F.size("__kept"), F.lit(0)).cast("long"), text_col: F.when(F.col("__kept").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))}).drop("__kept", "__drops")
+    drops = written(lost.groupBy(F.col("doc_id").isNull().alias("__none"), F.col("ref").alias("__ref")).agg(F.collect_set("line").alias("__lost")), "drops")
+    own = docs.drop(lines_col, dropped_col)
+    names = [*own.columns, lines_col, dropped_col]
+    seen = screened(own.withColumns({"__none": F.col(id_col).isNull(), "__ref": _ref(id_col, text_col)}), drops.select("__ref"), "__ref")
+    n_lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long")
+    whole = seen.filter("NOT __maybe").select(*own.columns, n_lines.alias(lines_col), F.lit(0).cast("long").alias(dropped_col))
+    shape = StructType([*own.schema.fields, StructField(lines_col, LongType()), StructField(dropped_col, LongType())])
+    maybe = seen.filter("__maybe").join(drops, ["__none", "__ref"], "left").select(*own.columns, "__lost")
+    return whole.unionByName(maybe.mapInArrow(_without(own.columns.index(text_col), names), shape))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ what it keeps of ``docs``, with the columns of ``docs``; the last returns ids.
 Rows with a null id pass the n-gram stage: they can't be named as the one of
 their group that stays. Rows that repeat an id are one document there, of which
 the row with the least text stays. Null texts pass all stages and are encoded as
-the empty text. Tables without rows give results without rows.
+the empty text. Tables without rows give results without rows. Very long texts
+are treated whole by each stage; equal rows have equal fates. Extra columns pass
+whatever their names, but names that begin with two underscores are the stages' own.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many hold; ``n_chars`` follows the text."""
-    kept = line_dedup.drop_repeated_lines(docs)
+    kept = line_dedup.drop_repeated_lines(docs, lines_col="__lines", dropped_col="__dropped")
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 
 

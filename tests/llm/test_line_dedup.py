@@ -42,10 +42,17 @@ def made():
 def test_against_brute_force(spark, min_docs, min_chars):
     df = spark.createDataFrame(made(), "doc_id long, text string").withColumns({"key": F.lit("clash"), "n_lines": F.lit(-1), "keeper": F.lit(0)})
     found = m.drop_repeated_lines(df, min_docs=min_docs, min_chars=min_chars)
-    assert found.columns.count("n_lines") == 1 and "keeper" in found.columns
+    assert found.columns.count("n_lines") == 1 and {"key", "keeper"} <= set(found.columns)
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found.collect()), key=str) == sorted(brute(made(), min_docs, min_chars), key=str)
 
 
+def test_a_text_of_very_many_lost_lines(spark):
+    lines = [f"line number {i} of a passage" for i in range(30_000)]
+    rows = [(i, "\n".join(lines)) for i in range(2)]
+    found = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in m.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2, min_chars=5).collect()}
+    assert found == {0: (30_000, 30_000, ""), 1: (30_000, 0, rows[1][1])}
+
+
 def test_empty_table(spark):
     assert m.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

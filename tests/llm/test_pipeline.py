@@ -30,6 +30,12 @@ def test_each_stage_by_its_operator(spark):
     assert held and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - held
 
 
+def test_columns_named_like_the_stages_own(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"n_lines": F.col("doc_id") + 1, "n_dropped": F.lit(7), "label": F.lit("x")})
+    kept = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, SF)
+    assert kept.columns == docs.columns and kept.filter("n_lines <> doc_id + 1 OR n_dropped <> 7 OR label <> 'x'").count() == 0 and kept.count() == docs.count()
+
+
 def test_whole_pipeline_and_empty_table(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r.n_tokens >= 0 for r in rows) and len({r.doc_id for r in rows}) == len(rows)
