@@ -6,27 +6,29 @@ piece stays whole. An automaton finds the pieces in the documents, and each hit
 is verified with Myers' bit-parallel distance of the whole item to the text
 around it. A document holds an item if some span is within the budget.
 
-Items are taken in blocks of at most ``BLOCK_CHARS`` characters, each sent to
-all tasks and met by all documents, so that what is sent is bounded however
-large the benchmark is.
+Items are taken in blocks of at most ``BLOCK_CHARS`` characters (a longer item is
+a block by itself). The driver holds one block at a time; each is sent to all
+tasks, met by all documents, and taken back once what it found is written, so
+that what is sent is bounded however large the benchmark is.
 
 Null and empty texts hold nothing; items that fold to fewer than ``LEAST_CHARS``
 characters (also null ones) are held by nothing. Items that repeat are reported
-under each id. Of equally near spans the first is reported. Repeated document
+under each id. Of equally near spans the first is reported. Very long texts are
+searched whole, by time in proportion to their length and hits. Repeated document
 rows give repeated results; extra columns are left out.
 """
 
 from __future__ import annotations
 
-import functools
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batch, sliced
+from .common import as_batch, discard, sliced, written
 
 #: Edits allowed for each character of an item; characters an item needs.
 ERROR_SHARE, LEAST_CHARS = 0.08, 32
@@ -90,15 +92,17 @@ class Matcher:
         for n, (_, t) in enumerate(self.items):
             for at, piece in pieces(t, self.errors[n]):
                 by_piece.setdefault(piece, []).append((n, at))
+        self.patterns: dict[int, tuple[Myers, Myers]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, where in by_piece.items():
             self.automaton.add_word(piece, (len(piece), where))
         if by_piece:
             self.automaton.make_automaton()
 
-    @functools.lru_cache(maxsize=20_000)  # noqa: B019
     def pattern(self, n: int) -> tuple[Myers, Myers]:
-        return Myers(self.items[n][1]), Myers(self.items[n][1][::-1])
+        if n not in self.patterns:
+            self.patterns[n] = Myers(self.items[n][1]), Myers(self.items[n][1][::-1])
+        return self.patterns[n]
 
     def held(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of each item that the text holds;
@@ -134,37 +138,40 @@ class Matcher:
 _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The folded items, in blocks of bounded size; one block is held at a time
-    by tasks, and items reach the driver one by one."""
-    out, size = [[]], 0
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The folded items, block after block, and whether it is the last one.
+    Items reach the driver one by one."""
+    block, size = [], 0
     for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull()).orderBy("i", "t").toLocalIterator():
         text = folded(r.t)
-        if out[-1] and size + len(text) > BLOCK_CHARS:
-            out.append([])
-            size = 0
-        out[-1].append((r.i, text))
+        if block and size + len(text) > BLOCK_CHARS:
+            yield block, False
+            block, size = [], 0
+        block.append((r.i, text))
         size += len(text)
-    return out
+    yield block, True
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, start, end: one row for each item that a
     document holds."""
-    spark = docs.sparkSession
+    spark, out = docs.sparkSession, None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for block in blocks(benchmark, item_id_col, item_text_col):
-        found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block)), "doc_id long, item_id long, distance int, start int, end int")
+    for block, last in blocks(benchmark, item_id_col, item_text_col):
+        shared = spark.sparkContext.broadcast(block)
+        found = rows.mapInArrow(_scan(shared), "doc_id long, item_id long, distance int, start int, end int")
+        if not last:
+            found = written(found, "hits")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, *, flag_col: str = "__held", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and whether the text holds any item."""
-    spark, out = docs.sparkSession, docs.withColumn(flag_col, F.lit(False))
+    spark, out, before = docs.sparkSession, docs.withColumn(flag_col, F.lit(False)), None
     at = docs.columns.index(text_col)
-    for block in blocks(benchmark, item_id_col, item_text_col):
+    for block, last in blocks(benchmark, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -174,6 +181,12 @@ def flagged(docs: DataFrame, benchmark: DataFrame, *, flag_col: str = "__held",
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, pa.bool_())], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
+        if not last:
+            out = written(out, "flags")
+            shared.destroy()
+            if before is not None:
+                discard(before)
+            before = out
     return out
 
 

@@ -67,8 +67,31 @@ def test_blocks_of_items(spark, monkeypatch):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, m.contaminated(df, bench).collect()), key=str)
     monkeypatch.setattr(m, "BLOCK_CHARS", 300)
-    assert len(m.blocks(bench, "item_id", "text")) > 2
+    assert len(list(m.blocks(bench, "item_id", "text"))) > 2
     assert sorted(map(tuple, m.contaminated(df, bench).collect()), key=str) == whole
+    held = {str(r.doc_id) for r in m.flagged(df, bench).filter("__held").collect()}
+    assert held == {str(r[0]) for r in whole}
+
+
+def test_long_texts_and_items():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("aeioubcdfg") for _ in range(rnd.randint(2, 8)))
+    item = " ".join(word() for _ in range(700))
+    text = " ".join(word() for _ in range(40_000)) + " " + spoiled(item, 60, rnd) + " " + " ".join(word() for _ in range(40_000))
+    (hit,) = m.Matcher([(5, m.folded(item))]).held(text)
+    assert hit[0] == 5 and hit[1] <= 120
+
+
+def test_matchers_are_not_kept():
+    import gc
+    import weakref
+
+    own = m.Matcher([(1, "x" * 40 + " some words here")])
+    assert own.held("a " + "x" * 40 + " some words here b")
+    gone = weakref.ref(own)
+    del own
+    gc.collect()
+    assert gone() is None
 
 
 def test_empty_tables(spark):
