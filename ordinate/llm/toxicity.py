@@ -10,7 +10,10 @@ summed weight, also per square root of its words; empty texts get the score of
 texts without a match.
 
 At most ``SAMPLE_ROWS`` labelled rows (those with the smallest hash of id) are
-learned from. Several labels of one document count as toxic if any is. Null
+learned from, and of what they hold the ``LEXICON_SIZE`` terms of most weight and
+the ``PHRASES`` commonest phrases make the model: its size, like the sample's, is
+a parameter and the same at every size of the corpus. Texts are matched whole, in
+time in proportion to their length. Several labels of one document count as toxic if any is. Null
 labels don't count. Without both kinds of labels the score is the share of toxic
 labels (0 without any). Repeated rows give repeated results; other columns are
 not read.
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_batch, crc_bucket, sliced
+from .common import as_batch, crc_bucket, sliced, written
 
 #: Bounds of the fitted sample and of the lexicon.
 SAMPLE_ROWS, LEXICON_SIZE, PHRASES = 20_000, 512, 2_000
@@ -44,6 +47,8 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝвкмнтΑΒΕΖΗΙΚΜΝ
 SIGNS = dict(zip("0134578@$!|+", "oieastbasiit"))
 _TABLE = str.maketrans(HOMOGLYPHS | SIGNS)
 _OTHER = re.compile(r"[\W\d_]+")
+#: A number with no letter beside it: its digits stand for no letters.
+_NUMBER = re.compile(r"(?<!\w)\d+(?!\w)")
 
 
 def folded(text: str | None) -> str:
@@ -54,6 +59,7 @@ def folded(text: str | None) -> str:
         text = unicodedata.normalize("NFKC", text)
     # a sign at a word's end closes a sentence; inside a word it stands for a letter
     text = re.sub(r"(?<=\w)[!|+$@](?=\w)|[!|+$@]", lambda m: m[0] if 0 < m.start() and m.end() < len(m.string) and m.string[m.start() - 1].isalpha() and m.string[m.end()].isalpha() else (m[0] if m[0] in "@$" and m.end() < len(m.string) and m.string[m.end()].isalpha() else " "), text)
+    text = _NUMBER.sub(" ", text)
     return f" {_OTHER.sub(' ', text.lower().translate(_TABLE)).strip()} "
 
 
@@ -188,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """A model from the ``labels`` rows (id, label 0 or 1) of ``docs``."""
     named = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"]).select(F.col(text_col).alias("text"), "label")
+    # the sample is read four times, the documents only once
+    rows = written(docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"]).select(F.col(text_col).alias("text"), "label"), "labelled")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:

@@ -10,7 +10,9 @@ def test_folding():
     assert m.folded("сlоwn $cum") == " clown scum "
     assert m.folded("ｔｒａｓｈ") == " trash "
     assert m.folded(None) == m.folded("") == " "
-    assert m.folded("end! 42") .split()[0] == "end"
+    assert m.folded("end! 42") == m.folded("end") == " end "
+    assert m.folded("345 units, 100% of 4.55 or 1d10t") == " units of or idiot "
+    assert m.folded("a" * 300_000 + " 1") == f" {'a' * 300_000} "
 
 
 def made(n=600):
