@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinate.storage import discard, release, shared_path, shared_root, written
 
-__all__ = ["as_batch", "components", "crc_bucket", "discard", "large_or_small", "list_array", "narrowed", "release", "screened", "shared_path", "shared_root", "sliced", "written"]
+__all__ = ["as_batch", "components", "crc_bucket", "discard", "large_or_small", "list_array", "modest", "narrowed", "release", "screened", "shared_path", "shared_root", "sliced", "written"]
 
 
 def crc_bucket(column, modulus: int):
@@ -16,11 +18,30 @@ def crc_bucket(column, modulus: int):
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
 
 
+#: Rows of an Arrow batch: with long texts, Spark's 10,000 take much memory on both sides.
+BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS``, if they are larger."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def given_back() -> None:
+    """Returns memory that a worker has freed to the system: idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sliced(batches, rows: int = 256):
     """Arrow batches cut to few rows, so that a worker's Python copies stay small."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    batch = None
+    given_back()
 
 
 def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

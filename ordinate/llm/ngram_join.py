@@ -168,6 +168,7 @@ def _first_pass(width: int):
             columns = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cols) if cols else np.zeros(0, np.int64)), mask=pa.array(known, pa.bool_()))
             longs = (pa.array(np.ascontiguousarray(b)) for b in np.stack(bits).T)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), columns, *longs], schema=_PASS)
+        _WORDS.clear()
 
     return run
 

@@ -15,17 +15,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from .common import screened, written
+from .common import modest, screened, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
+    modest(spark)
     model = toxicity.fit(docs, toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.scored(docs, model, score_col="__score").filter(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many hold; ``n_chars`` follows the text."""
+    modest(spark)
     kept = line_dedup.drop_repeated_lines(docs, lines_col="__lines", dropped_col="__dropped")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -34,6 +36,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the smallest id."""
+    modest(spark)
     found = ngram_join.similar(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("__stays"))
     # only ids that go, or repeat, are looked at one by one; other rows pass where they lie
     odd = written(found.filter("__rows > 1 OR NOT __stays"), "odd-ids")
@@ -45,12 +48,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    modest(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.flagged(docs, benchmark).filter(~F.col("__held")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, counted and digested, and the digest of their bytes."""
+    modest(spark)
     import public_tokenizers
 
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

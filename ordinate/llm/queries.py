@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
+from .common import modest
+
 #: Query name and the module with the function of that name.
 _MODULES = {
     "op1_bpe": "bpe",
@@ -19,8 +22,17 @@ _MODULES = {
 }
 
 
+def _modest(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        modest(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
+    return {name: _modest(getattr(importlib.import_module(f"{__package__}.{module}"), name)) for name, module in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
