@@ -29,7 +29,7 @@ from .common import as_batch, large_or_small, sliced
 #: Characters of a chunk, and how many of them the next chunk has too.
 CHUNK, OVERLAP = 65_536, 2_048
 #: Distinct units whose ids a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -152,12 +152,32 @@ def stitch(chunks: list[tuple[int, str]], cuts: list[np.ndarray], pattern: str)
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _encode_short(path: str, pattern: str):
+_BOTH = _IDS.append(pa.field("decoded", pa.binary()))
+
+
+def decoded_bytes(lists: pa.ListArray, path: str) -> pa.Array:
+    """The joined bytes of each list of ids."""
+    offsets = lists.offsets.to_numpy()
+    joined = pc.take(token_bytes(path), lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])))
+    if isinstance(joined, pa.ChunkedArray):
+        joined = joined.combine_chunks()
+    at = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[offsets - offsets[0]] if len(joined) else np.zeros(len(offsets), np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(at)), joined.buffers()[2] if len(joined) else pa.py_buffer(b"")])
+
+
+def _coded(path: str, decode: bool, doc_ids, counts, lists: pa.ListArray) -> pa.RecordBatch:
+    """Encoded texts, with the bytes of their ids if ``decode``."""
+    if decode:
+        return as_batch(_BOTH, doc_ids, counts, lists, decoded_bytes(lists, path))
+    return as_batch(_IDS, doc_ids, counts, lists)
+
+
+def _encode_short(path: str, pattern: str, decode: bool):
     def run(batches):
         own = encoder(path, pattern)
-        for batch in sliced(batches):
+        for batch in sliced(batches, 128):
             bounds, ids = own.encode([own.units(t) if t else [] for t in batch.column(1).to_pylist()])
-            yield as_batch(_IDS, batch.column(0).cast(pa.int64()), np.diff(bounds), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+            yield _coded(path, decode, batch.column(0).cast(pa.int64()), np.diff(bounds), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
 
     return run
 
@@ -174,7 +194,7 @@ def _pretokenise(pattern: str):
     return run
 
 
-def _stitch_group(path: str, pattern: str):
+def _stitch_group(path: str, pattern: str, decode: bool):
     def run(table: pa.Table) -> pa.Table:
         own, rows, seen = encoder(path, pattern), sorted(table.to_pylist(), key=lambda r: r["start"]), {}
         for r in rows:
@@ -183,22 +203,25 @@ def _stitch_group(path: str, pattern: str):
         parts = list(seen.values())
         pieces = stitch([(r["start"], r["part"]) for r in parts], [np.array(r["cuts"], np.int64) for r in parts], pattern)
         bounds, ids = own.encode([pieces])
-        return pa.Table.from_pydict({"doc_id": [rows[0]["doc_id"]] * copies, "n_tokens": [len(ids)] * copies, "ids": [ids] * copies}, _IDS)
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+        one = _coded(path, decode, [rows[0]["doc_id"]], [len(ids)], lists)
+        return pa.Table.from_batches([one] * copies, one.schema)
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Ids of every text: doc_id long, n_tokens long, ids array<int>.
+def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """Ids of every text: doc_id long, n_tokens long, ids array<int>; with
+    ``decoded`` also the bytes that the ids decode to, in the same pass.
 
     Texts of up to ``chunk`` characters are one chunk each and need no shuffle.
     Longer ones go out as one row for each chunk, so that one very long text is
     pre-tokenised by many tasks; only its chunks meet again to be stitched.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = "doc_id long, n_tokens long, ids array<int>"
+    out = "doc_id long, n_tokens long, ids array<int>" + ", decoded binary" * decoded
     size = F.coalesce(F.length("text"), F.lit(0))
-    short = rows.filter(size <= chunk).mapInArrow(_encode_short(path, pattern), out)
+    short = rows.filter(size <= chunk).mapInArrow(_encode_short(path, pattern, decoded), out)
     step = chunk - overlap
     parts = (
         rows.filter(size > chunk)
@@ -207,7 +230,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         .select("doc_id", "text_hash", F.col("start").cast("long").alias("start"), F.expr(f"substring(text, start + 1, {chunk})").alias("part"))
     )
     cut = parts.repartition("doc_id", "text_hash", "start").mapInArrow(_pretokenise(pattern), "doc_id long, text_hash long, start long, part string, cuts array<int>")
-    return short.unionByName(cut.groupBy("doc_id", "text_hash").applyInArrow(_stitch_group(path, pattern), out))
+    return short.unionByName(cut.groupBy("doc_id", "text_hash").applyInArrow(_stitch_group(path, pattern, decoded), out))
 
 
 def decode(ids: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -216,16 +239,8 @@ def decode(ids: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str,
     kept = ids.select(*keep, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("__ids"))
 
     def run(batches):
-        table = token_bytes(path)
         for batch in sliced(batches):
-            lists = batch.column(batch.num_columns - 1)
-            offsets = lists.offsets.to_numpy()
-            joined = pc.take(table, lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])))
-            if isinstance(joined, pa.ChunkedArray):
-                joined = joined.combine_chunks()
-            at = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[offsets - offsets[0]] if len(joined) else np.zeros(len(offsets), np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(at)), joined.buffers()[2] if len(joined) else pa.py_buffer(b"")])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], data], names=[*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], decoded_bytes(batch.column(batch.num_columns - 1), path)], names=[*keep, "decoded"])
 
     schema = kept.select(*keep).schema.add("decoded", "binary")
     return kept.mapInArrow(run, schema)
@@ -233,8 +248,9 @@ def decode(ids: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str,
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = encode(docs, path, pattern).select("doc_id", "n_tokens", "ids", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"))
-    return decode(coded, path, keep=("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(docs, path, pattern, decoded=True)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary")
+    return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
