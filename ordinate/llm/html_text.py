@@ -7,15 +7,23 @@ paragraphs apart by an empty line, list items with bullets or numbers and
 indented, table cells aligned in columns, preformatted text as it is.
 
 Invisible are comments, head, script, style, template, noscript, media
-fallbacks, elements with ``hidden`` or a style of ``display:none`` or
-``visibility:hidden``, closed dialogs, and all but the summary of closed
+fallbacks, titles and descriptions inside drawings, annotations of formulas,
+elements with ``hidden`` or a style of ``display:none``, text whose nearest
+``visibility`` is hidden, closed dialogs, and all but the summary of closed
 details. Null and empty pages give the empty text. Repeated rows give repeated
 results; other columns are left out. Elements deeper than ``MAX_DEPTH`` become
 siblings at that depth, and their text stays.
+
+Cells wider than ``WIDE`` don't widen their column, and columns in which no cell
+begins take no room. A table whose alignment would still take more than ``ROOM``
+times its text (very long or very ragged ones) is written with its cells one
+after another, unaligned: no text is lost, and the text of a page of any size
+stays in proportion to the page.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -27,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import as_batch, sliced
 
 MAX_DEPTH, MAX_SPAN = 200, 1000
+#: Widest cell that a column is aligned to; most room of an aligned table, by its text; most cells that reach down at a time.
+WIDE, ROOM, HELD = 60, 6, 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title area base link meta param source track col colgroup".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title desc metadata defs annotation annotation-xml area base link meta param source track col colgroup".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body center dd details dialog div dt figcaption footer form header hgroup html legend li main menu nav option optgroup section summary tr tbody thead tfoot caption".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt summary".split())
@@ -43,14 +53,20 @@ IMPLIED = {"li": (frozenset(("li",)), _LISTS), "dt": (frozenset(("dt", "dd")), f
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_SHOWN = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """``shown``: whether text directly inside is visible, as far as
+    ``visibility`` says, which children inherit unless they have their own."""
+
+    __slots__ = ("tag", "attrs", "children", "shown")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, shown: bool = True):
+        self.tag, self.attrs, self.children, self.shown = tag, attrs or {}, [], shown
+        if own := _SHOWN.findall(self.attrs.get("style", "")):
+            self.shown = own[-1].lower() == "visible"
 
 
 def tokens(page: str):
@@ -96,10 +112,13 @@ def parse(page: str) -> Node:
 
     for token in tokens(page):
         if token[0] == "text":
-            stack[-1].children.append(token[1])
+            if stack[-1].shown:
+                stack[-1].children.append(token[1])
         elif token[0] == "start":
             tag, attrs = token[1], token[2]
             if tag == "html":
+                root.attrs = attrs | root.attrs
+                root.shown = Node("html", root.attrs).shown
                 continue
             if tag in CLOSES_P:
                 close(frozenset(("p",)), frozenset(("table", "td", "th", "caption", "button", "object")))
@@ -108,10 +127,10 @@ def parse(page: str) -> Node:
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             if tag in _CELL and stack[-1].tag in ("table", *_GROUP):
-                row = Node("tr")
+                row = Node("tr", shown=stack[-1].shown)
                 stack[-1].children.append(row)
                 stack.append(row)
-            node = Node(tag, attrs)
+            node = Node(tag, attrs, stack[-1].shown)
             stack[-1].children.append(node)
             if tag not in VOID and len(stack) < MAX_DEPTH:
                 stack.append(node)
@@ -124,8 +143,14 @@ def parse(page: str) -> Node:
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
+                if tag == "p" and stack[i].tag in ("td", "th", "table", "caption", "button", "object"):
+                    stack[-1].children.append(Node("p"))
+                    break
                 if tag not in _TABLE and stack[i].tag in ("td", "th", "table") and tag not in (*_CELL, *_ROW, *_GROUP):
                     break
+            else:
+                if tag == "p":  # an end without a start is an empty paragraph
+                    stack[-1].children.append(Node("p"))
     return root
 
 
@@ -178,8 +203,6 @@ def _number(text: str | None, default: int) -> int:
 
 
 def _table(node: Node) -> list[str]:
-    rows: list[list[str]] = []
-    held: dict[int, list] = {}
     above: list[str] = []
     groups: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
 
@@ -197,39 +220,62 @@ def _table(node: Node) -> list[str]:
                     above.extend(render(child))
 
     gather(node, "tbody")
+    # lines of cells, by the column that the cell begins in; held: where cells of earlier rows reach down to, as end and rows left
+    rows: list[tuple[dict[int, str], int]] = []
+    held: dict[int, tuple[int, int]] = {}
     for row in groups["thead"] + groups["tbody"] + groups["tfoot"]:
-        cells: list[list[str]] = []
-
-        def skip() -> None:
-            while held.get(len(cells), [0])[0] > 0:
-                held[len(cells)][0] -= 1
-                cells.append([""])
-
+        cells: dict[int, list[str]] = {}
+        below: dict[int, tuple[int, int]] = {}
         loose: list = []
+        at = 0
         for child in row.children:
             if isinstance(child, Node) and child.tag in _CELL:
                 if not visible(child):
                     continue
-                skip()
+                while at in held:
+                    at = held[at][0]
                 span = max(1, min(MAX_SPAN, _number(child.attrs.get("colspan"), 1)))
                 down = max(1, min(65_534, _number(child.attrs.get("rowspan"), 1)))
-                for i in range(span):
-                    if down > 1:
-                        held[len(cells)] = [down - 1]
-                    cells.append((render(child) or [""]) if i == 0 else [""])
+                if down > 1 and len(held) + len(below) < HELD:
+                    below[at] = (at + span, down)
+                cells[at] = render(child) or [""]
+                at += span
             elif not isinstance(child, str) or child.strip():
                 loose.append(child)
+        while at in held:
+            at = held[at][0]
+        held = {start: (end, left - 1) for start, (end, left) in (held | below).items() if left > 1}
         if loose:
             stray = Node("div")
             stray.children = loose
             above.extend(render(stray))
-        skip()
-        for i in range(max((len(c) for c in cells), default=0)):
-            rows.append([c[i] if i < len(c) else "" for c in cells])
-    columns = max(map(len, rows), default=0)
-    wide = [max((width(r[i]) for r in rows if i < len(r)), default=0) for i in range(columns)]
-    out = [" | ".join(cell + " " * (wide[i] - width(cell)) for i, cell in enumerate(r)).rstrip() for r in rows]
-    return above + out
+        for i in range(max((len(c) for c in cells.values()), default=0)):
+            rows.append(({start: c[i] for start, c in cells.items() if i < len(c)}, at))
+    return above + _aligned(rows)
+
+
+def _aligned(rows: list[tuple[dict[int, str], int]]) -> list[str]:
+    """Rows (cells by column, and where the row ends) under one another, if that
+    takes no more than ``ROOM`` times their text."""
+    wide: dict[int, int] = {}
+    for row, _ in rows:
+        for at, cell in row.items():
+            own = width(cell)
+            wide[at] = max(wide.get(at, 0), own if own <= WIDE else 0)
+    order, total = sorted(wide), 0
+    upto = {}
+    for at in order:
+        total += wide[at] + 3
+        upto[at] = total
+    lasts = [bisect.bisect_left(order, end) for _, end in rows]
+    text = sum(len(cell) + 3 for row, _ in rows for cell in row.values())
+    if sum(upto[order[n - 1]] for n in lasts if n) > ROOM * text + 1000:
+        return [" | ".join(cell for _, cell in sorted(row.items()) if cell) for row, _ in rows]
+    out = []
+    for (row, _), n in zip(rows, lasts):
+        cells = ((row.get(at, ""), wide[at]) for at in order[:n])
+        out.append(" | ".join(cell + " " * (most - width(cell)) for cell, most in cells).rstrip())
+    return out
 
 
 def render(node: Node) -> list[str]:
@@ -305,7 +351,8 @@ def _fill(node: Node, out: Lines, pre: bool) -> None:
 
 
 def to_text(page: str | None) -> str:
-    return "\n".join(render(parse(page))) if page else ""
+    root = parse(page) if page else None
+    return "\n".join(render(root)) if root and visible(root) else ""
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("text", pa.string())])

@@ -28,6 +28,63 @@ def test_deep_and_long_pages():
     assert m.to_text("<" * 3000).count("<") >= 1
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>a<div>b</div>c</p>d", "a\n\nb\nc\n\nd"), ("<html hidden><body>no", ""), ("<html style='display:none'>no", ""),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>end", "yes\nend"), ("<p style='content-visibility:hidden'>yes", "yes"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math> <svg><title>no</title><text>drawn</text></svg>", "x=2 drawn"),
+    ("<ul style=visibility:hidden><li>no<li style=visibility:visible>yes</ul>", "- yes"),
+])
+def test_implied_paragraphs_and_visibility(page, text):
+    assert m.to_text(page) == text
+
+
+def test_large_tables_stay_in_proportion():
+    """Nothing is lost, and the text is no more than ten times the page."""
+    cells = [f"c{i}" for i in range(40_000)]
+    long = "<table>" + "".join(f"<tr><td>{c}<td>x" for c in cells) + f"<tr><td>{'w ' * 300_000}<td>y</table>"
+    spans = "<table>" + "".join(f"<tr><td colspan=1000>{c}" for c in cells[:5000]) + "</table>"
+    down = "<table><tr>" + "".join(f"<td rowspan=60000>{c}" for c in cells[:3000]) + "".join(f"<tr><td>{c}" for c in cells[3000:9000]) + "</table>"
+    ragged = "<table><tr>" + "".join(f"<td>{c}" for c in cells[:20_000]) + "".join(f"<tr><td colspan=999>{c}<td>z" for c in cells[20_000:30_000]) + "</table>"
+    for page in (long, spans, down, ragged):
+        text = m.to_text(page)
+        assert len(text) < 10 * len(page)
+        assert sorted(w for w in text.replace("|", " ").split() if w[0] == "c") == sorted(c for c in cells if f">{c}" in page)
+
+
+def brute_words(page):
+    """Visible words by the standard library's parser and a stack of open tags."""
+    from html.parser import HTMLParser
+
+    out = []
+
+    class Words(HTMLParser):
+        off = 0
+
+        def handle_starttag(self, tag, attrs):
+            if self.off or tag in ("head", "script", "style", "template", "noscript"):
+                self.off += tag not in m.VOID
+
+        def handle_endtag(self, tag):
+            self.off -= bool(self.off) and tag not in m.VOID
+
+        def handle_data(self, data):
+            if not self.off:
+                out.append(data)
+
+    own = Words()
+    own.feed(page)
+    own.close()
+    return out
+
+
+def test_words_are_the_plain_parsers(spark):
+    import re
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        if r.html and "hidden" not in r.html and "display" not in r.html:
+            assert "".join(re.findall(r"\w+", m.to_text(r.html))) == "".join(re.findall(r"\w+", " ".join(brute_words(r.html))))
+
+
 def test_table_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None), (2, "")], "page_id long, html string").withColumns({"text": F.lit("clash"), "url": F.lit("u")})
     assert sorted(map(tuple, m.extract(df).collect()), key=str) == sorted([(1, "a"), (1, "a"), (None, ""), (2, "")], key=str)
