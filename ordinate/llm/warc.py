@@ -14,7 +14,10 @@ Defined results: a null payload is the empty payload. Payloads under
 ``min_bytes`` are always responses, and so are rows with a null id. Rows that
 repeat the smallest id of their payload are all responses. A url that is null
 becomes ``about:blank``; control characters in urls are percent-encoded. Extra
-columns are left out.
+columns are left out. Payloads are bytes of any kind and length. In archives from
+elsewhere, a revisit whose response isn't among them stays a revisit with the
+same reference; records without an id are never referred to; a record that is cut
+off or has no length raises an error.
 """
 
 from __future__ import annotations
@@ -64,15 +67,15 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest}')}>"
 
 
-def record(kind: str, page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One record, uncompressed."""
+def record(kind: str, page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: str | None, date: str) -> bytes:
+    """One record, uncompressed; ``refers_to`` is the id of a record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() if kind == "response" else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + payload if kind == "response" else http
     fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date), ("WARC-Target-URI", quote(url, safe="".join(map(chr, range(33, 127)))) if url else "about:blank"), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if page_id is not None:
         fields.append(("Page-ID", str(page_id)))
     if kind == "revisit":
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", refers_to)]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in fields), b"", block, b"", b""])
 
@@ -95,6 +98,8 @@ def records(stream):
         while (line := stream.readline().strip(b"\r\n")):
             name, _, value = line.partition(b":")
             headers[name.decode().lower()] = value.strip().decode()
+        if "content-length" not in headers:
+            raise ValueError("a record has no length")
         size = int(headers["content-length"])
         block = stream.read(size)
         if len(block) != size:
@@ -109,12 +114,13 @@ def _write(folder: str, date: str):
     def run(batches):
         out, path, count, size, done = None, "", 0, 0, []
         for batch in sliced(batches):
-            for page_id, url, payload, digest, original in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, digest, original, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     path, count, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = _open_new(path)
-                kind = "response" if original is None or original == page_id or page_id is None else "revisit"
-                data = member(record(kind, page_id, url, digest, payload.encode(), original, date))
+                if refers is None and original is not None and page_id is not None and original != page_id:
+                    refers = record_id(original, digest)
+                data = member(record("response" if refers is None else "revisit", page_id, url, digest, payload, refers, date))
                 out.write(data)
                 count, size = count + 1, size + len(data)
                 if size >= FILE_BYTES:
@@ -139,11 +145,15 @@ def originals(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes archives of ``pages`` under ``folder`` and returns the manifest
     (path, n_records, n_bytes), itself written beside them."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.expr("cast('' as binary)")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
     known = written(originals(rows, min_bytes), "originals")
-    planned = rows.join(known, "digest", "left").select("page_id", "url", "payload", "digest", "original")
-    return written(planned.mapInArrow(_write(folder, date), "path string, n_records long, n_bytes long"), "manifest")
+    return _written_archives(rows.join(known, "digest", "left").withColumn("refers", F.lit(None).cast("string")), folder, date)
+
+
+def _written_archives(planned: DataFrame, folder: str, date: str) -> DataFrame:
+    rows = planned.select("page_id", "url", "payload", "digest", "original", "refers")
+    return written(rows.mapInArrow(_write(folder, date), "path string, n_records long, n_bytes long"), "manifest")
 
 
 _RECORDS = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("declared_digest", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary())])
@@ -185,14 +195,33 @@ def resolved(found: DataFrame) -> DataFrame:
     return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)
 
 
-def dedupe_archives(manifest: DataFrame, folder: str, **options) -> DataFrame:
-    """Archives in, deduplicated archives out: payloads of revisits are taken
-    from their responses, the originals chosen anew, headers written fresh."""
+def dedupe_archives(manifest: DataFrame, folder: str, *, min_bytes: int = MIN_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Archives in, deduplicated archives out, with fresh headers.
+
+    Originals are chosen anew from the headers of all records, revisits under the
+    digest of their response. Payloads move only to a revisit that becomes an
+    original; all others go straight from where they are read to where they are
+    written. Revisits without their response are carried over.
+    """
     found = read_archives(manifest)
-    bodies = found.filter("record_type != 'revisit'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("refers_to_id"), F.col("payload").alias("body"))
-    full = found.filter("record_type = 'revisit'").join(bodies, "refers_to_id").select("page_id", "url", F.col("body").alias("payload"))
-    rows = found.filter("record_type != 'revisit'").select("page_id", "url", "payload").unionByName(full)
-    return write_archives(rows.withColumn("html", F.decode("payload", "UTF-8")), folder, **options)
+    heads = written(found.select("record_type", "record_id", "page_id", "url", "refers_to_id", "declared_digest", F.octet_length("payload").alias("size"), F.sha2("payload", 256).alias("digest")), "heads")
+    responses = heads.filter("record_type <> 'revisit'")
+    targets = responses.filter("record_id IS NOT NULL").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("digest").alias("digest"), F.min("size").alias("size"))
+    revisits = written(heads.filter("record_type = 'revisit'").drop("digest", "size").join(targets, "refers_to_id", "left"), "revisits")
+    known = responses.select("page_id", "digest", "size").unionByName(revisits.filter("digest IS NOT NULL").select("page_id", "digest", "size")).filter(F.col("size") >= min_bytes)
+    known = written(known.groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "original"), "originals")
+    none, empty = F.lit(None).cast("string"), F.expr("cast('' as binary)")
+    first = found.filter("record_type <> 'revisit'").withColumn("digest", F.sha2("payload", 256)).join(known, "digest", "left").withColumn("refers", none)
+    back = revisits.filter("digest IS NOT NULL").join(known, "digest", "left")
+    whole = F.coalesce(F.col("original") == F.col("page_id"), F.lit(True)) | F.col("page_id").isNull()
+    wanted = back.filter(whole)
+    bodies = found.filter("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), "payload").join(wanted.select("refers_to_id").distinct(), "refers_to_id", "left_semi").dropDuplicates(["refers_to_id"])
+    columns = ["page_id", "url", "payload", "digest", "original", "refers"]
+    again = wanted.join(bodies, "refers_to_id").withColumn("refers", none)
+    still = back.filter(~whole).withColumns({"payload": empty, "refers": none})
+    lost = revisits.filter("digest IS NULL").select("page_id", "url", empty.alias("payload"), F.coalesce("declared_digest", F.lit("")).alias("digest"), F.lit(None).cast("long").alias("original"), F.coalesce("refers_to_id", F.lit("")).alias("refers"))
+    planned = first.select(*columns).unionByName(again.select(*columns)).unionByName(still.select(*columns)).unionByName(lost.select(*columns))
+    return _written_archives(planned, folder, date)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

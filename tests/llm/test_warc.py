@@ -46,6 +46,35 @@ def test_deduplicating_archives(spark):
     assert len(again) == len(ROWS) - 1
 
 
+def test_deduplicating_odd_archives(spark, tmp_path):
+    """A payload that isn't UTF-8, records without ids, orphans, and a revisit that becomes the original."""
+    latin = "\u00e9".encode("latin-1") * 150
+    digest = __import__("hashlib").sha256(latin).hexdigest()
+    first = [warc.record("response", i, "u", digest, latin, None, "1970-01-01T00:00:00Z") for i in (7, 8)]
+    first.append(warc.record("revisit", 2, "u", digest, b"", warc.record_id(8, digest), "1970-01-01T00:00:00Z"))
+    first.append(warc.record("revisit", 9, "u", "gone", b"", "<urn:uuid:gone>", "1970-01-01T00:00:00Z"))
+    first += [b"\r\n".join(x for x in r.split(b"\r\n") if not x.startswith((b"WARC-Record-ID", b"Page-ID"))) for r in (warc.record("response", 1, "n", "x", b"one", None, "d"), warc.record("response", 1, "n", "x", b"two", None, "d"))]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(map(warc.member, first)))
+    manifest = spark.createDataFrame([(f"file://{path}",)], "path string")
+    rows = warc.read_archives(warc.dedupe_archives(manifest, shared_path(spark, "w"))).collect()
+    found = {r.page_id: r for r in rows if r.page_id is not None}
+    assert bytes(found[2].payload) == latin and found[2].record_type == "response"
+    assert found[7].record_type == found[8].record_type == "revisit" and found[7].refers_to_id == found[2].record_id
+    assert found[9].record_type == "revisit" and found[9].refers_to_id == "<urn:uuid:gone>"
+    assert sorted(bytes(r.payload) for r in rows if r.page_id is None) == [b"one", b"two"] and len(rows) == 6
+
+
+def test_records_cut_off_or_without_length():
+    data = warc.record("response", 1, "u", "x", b"payload", None, "d")
+    for broken in (data[:-12], b"\r\n".join(x for x in data.split(b"\r\n") if not (x.startswith(b"Content-Length: ") and x != b"Content-Length: 7"))):
+        try:
+            list(warc.records(io.BytesIO(broken)))
+        except ValueError:
+            continue
+        raise AssertionError(broken)
+
+
 def test_empty_table(spark):
     assert warc.resolved(warc.read_archives(warc.write_archives(table(spark).limit(0), shared_path(spark, "w")))).collect() == []
 
