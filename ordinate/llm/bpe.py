@@ -29,7 +29,7 @@ from .common import as_batch, large_or_small, sliced
 #: Characters of a chunk, and how many of them the next chunk has too.
 CHUNK, OVERLAP = 65_536, 2_048
 #: Distinct units whose ids a worker keeps.
-CACHE = 100_000
+CACHE = 60_000
 
 
 @functools.lru_cache(maxsize=4)
