@@ -58,9 +58,9 @@ from .common import components, discard, narrowed, sliced, written
 #: Longs of a parity bitmap; words whose hashes a worker keeps.
 BITMAP, CACHE = 8, 100_000
 #: Classes from which on a column is ordered behind others; columns that each class puts forward to spare, besides a quarter.
-HOT, SPARE = 32, 8
+HOT, SPARE = 128, 8
 #: Times, at most, that groups meet one of their classes before the rest meets, and pairs for each entry from which on they do so again.
-TURNS, MANY = 4, 8
+TURNS, MANY = 4, 128
 #: Bits of the filter of shared columns (a table of 262,144 rows, 4 MB).
 COLUMN_FILTER_BITS = 1 << 24
 #: Columns of a block of the product, about.
