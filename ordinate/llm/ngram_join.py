@@ -201,14 +201,23 @@ class Join:
     """One join: the pass over the texts, the candidates and the product."""
 
     def __init__(self, docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text"):
-        self.bounds = Bounds(num, den)
+        self.bounds, self.frames = Bounds(num, den), []
         own = F.col(id_col).cast("long")
         texts = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(text_col)).alias("ref"), F.col(text_col).alias("text"))
         shape = "doc_id long, ref long, n long, key long, cols array<long>, " + ", ".join(f"{b} long" for b in _BITS)
-        self.rows = written(texts.mapInArrow(_first_pass(width), shape), "rows")
+        self.rows = self.write(texts.mapInArrow(_first_pass(width), shape), "rows")
         #: key, rep (least id), ref (of a row with columns), n, bitmap: each class with columns
         firsts = (F.first(c).alias(c) for c in ("n", *_BITS))
-        self.classes = written(self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("cols").isNotNull(), F.col("ref"))).alias("ref"), *firsts), "classes")
+        self.classes = self.write(self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("cols").isNotNull(), F.col("ref"))).alias("ref"), *firsts), "classes")
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """An intermediate result, which ``close`` removes if nothing has before."""
+        self.frames.append(written(df, name))
+        return self.frames[-1]
+
+    def close(self) -> None:
+        """Removes what the join has written; its lazy results can't be read any more."""
+        discard(*self.frames)
 
     def columns(self, wanted: DataFrame) -> DataFrame:
         """The rows of ``wanted`` (key, ref, ...) and ``cols``; only rows of
@@ -231,19 +240,19 @@ class Join:
         (col, df) of those that too many do."""
         entries = self.entries()
         # written, so that the join can split a column that very many classes have
-        shared = written(entries.groupBy("col").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("col"), "shared")
-        found = written(narrowed(entries, shared, "col", COLUMN_FILTER_BITS).distinct().select("key", "n", "pos", "col"), "groups")
+        shared = self.write(entries.groupBy("col").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("col"), "shared")
+        found = self.write(narrowed(entries, shared, "col", COLUMN_FILTER_BITS).distinct().select("key", "n", "pos", "col"), "groups")
         whole = self.classes.limit(0).select("key")
         while True:
-            hot = written(found.groupBy("col").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > HOT), "hot")
+            hot = self.write(found.groupBy("col").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > HOT), "hot")
             hots = found.join(hot.select("col"), "col", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("hots"), F.first("n").alias("n"))
             lacking = hots.filter(f"{self.first_sql()} < n AND {self.first_sql()} - hots < {self.bounds.prefix_sql()}").join(whole, "key", "left_anti")
-            lacking = written(lacking.select("key", "n").join(self.classes.select("key", "ref"), "key"), "lacking")
+            lacking = self.write(lacking.select("key", "n").join(self.classes.select("key", "ref"), "key"), "lacking")
             if lacking.isEmpty():
                 return found, hot
-            added = written(self.columns(lacking).select("key", "n", F.posexplode("cols").alias("pos", "col")).distinct(), "added")
+            added = self.write(self.columns(lacking).select("key", "n", F.posexplode("cols").alias("pos", "col")).distinct(), "added")
             met = narrowed(entries, added.select("col").distinct(), "col", COLUMN_FILTER_BITS).select("key", "n", "pos", "col")
-            before, found = found, written(found.unionByName(met).unionByName(added).distinct(), "groups")
+            before, found = found, self.write(found.unionByName(met).unionByName(added).distinct(), "groups")
             discard(before, added, hot)
             whole = whole.unionByName(lacking.select("key"))
 
@@ -265,7 +274,7 @@ class Join:
         needed = self.bounds.needed_sql()
         sides = (pairs.select(F.col(s).alias("key"), F.col(f"ref_{s}").alias("ref"), "cuts") for s in "ab")
         wanted = next(sides).unionByName(next(sides)).distinct()
-        blocks = written(self.columns(wanted).select("key", "cuts", "cols").mapInArrow(_blocks, "key long, cuts int, blk int, part array<long>").dropDuplicates(["key", "cuts", "blk"]), "blocks")
+        blocks = self.write(self.columns(wanted).select("key", "cuts", "cols").mapInArrow(_blocks, "key long, cuts int, blk int, part array<long>").dropDuplicates(["key", "cuts", "blk"]), "blocks")
 
         def product(of: DataFrame, own: DataFrame) -> DataFrame:
             x, y = (own.select(F.col("key").alias(s), "cuts", "blk", F.col("part").alias(f"x{s}")) for s in "ab")
@@ -273,11 +282,11 @@ class Join:
 
         pair = ["root_a", "root_b", "a", "b", "na", "nb"]
         first = product(pairs.withColumn("blk", F.lit(0)), blocks.filter("blk = 0")).filter(f"both + least(na - size(xa), nb - size(xb)) >= {needed}")
-        first = written(first.select(*pair, "cuts", "both"), "first")
+        first = self.write(first.select(*pair, "cuts", "both"), "first")
         rest = product(first.filter("cuts > 1").drop("both").withColumn("blk", F.expr("explode(sequence(1, cuts - 1))")), blocks.filter("blk > 0"))
         sums = rest.select(*pair, "both").unionByName(first.filter("cuts > 1").select(*pair, "both")).groupBy(*pair).agg(F.sum("both").cast("int").alias("both"))
         done = first.filter("cuts = 1").select(*pair, "both").unionByName(sums)
-        links = written(done.filter(f"both >= {needed}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+        links = self.write(done.filter(f"both >= {needed}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
         discard(blocks, first)
         return links
 
@@ -301,26 +310,30 @@ class Join:
         may still link others, and how many pairs that makes."""
         by_root = left.groupBy("col", "root").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("early"))
         groups = by_root.groupBy("col").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("rows"), F.max("early").alias("has_early"))
-        return written(groups.filter("has_early AND rows > most.rows").select("col", F.col("most.root").alias("largest"), F.expr("(rows - most.rows) * rows").alias("pairs")), "largest")
+        return self.write(groups.filter("has_early AND rows > most.rows").select("col", F.col("most.root").alias("largest"), F.expr("(rows - most.rows) * rows").alias("pairs")), "largest")
 
     def pairs(self, met: DataFrame) -> DataFrame:
         """The pairs that sizes, ranks and bitmaps allow, and their number of blocks."""
         met = met.filter(self.bounds.reached_sql()).select("root_a", "root_b", "a", "b", "na", "nb").distinct()
         x, y = (self.classes.select(F.col("key").alias(s), F.col("ref").alias(f"ref_{s}"), *(F.col(b).alias(f"{s}{i}") for i, b in enumerate(_BITS))) for s in "ab")
         cuts = F.expr(f"cast(pow(2, greatest(0, ceil(log2(greatest(na, nb) / {RANGE}.0)))) as int)").alias("cuts")
-        return written(met.join(x, "a").join(y, "b").filter(self.bounds.close_sql()).select("root_a", "root_b", "a", "b", "na", "nb", "ref_a", "ref_b", cuts), "pairs")
+        return self.write(met.join(x, "a").join(y, "b").filter(self.bounds.close_sql()).select("root_a", "root_b", "a", "b", "na", "nb", "ref_a", "ref_b", cuts), "pairs")
 
     def components(self) -> DataFrame:
         """node, root: the component of each class that links with another."""
-        left, found, turn = written(self.prefixes().withColumn("root", F.col("key")), "left"), [], 0
+        kept = len(self.frames)
+        left, found, turn = self.write(self.prefixes().withColumn("root", F.col("key")), "left"), [], 0
+        discard(*self.frames[kept:-1])
         while True:
-            links = self.links(self.pairs(self.met_one(left, turn)))
+            pairs = self.pairs(self.met_one(left, turn))
+            links = self.links(pairs)
+            discard(pairs)
             found.append(links)
             joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("least"))
             moved = left.join(joined, "root", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
-            before, moved = left, written(moved, "left")
+            before, moved = left, self.write(moved, "left")
             largest = self.largest(moved)
-            left = written(moved.join(largest.select("col"), "col", "left_semi"), "left")
+            left = self.write(moved.join(largest.select("col"), "col", "left_semi"), "left")
             discard(before, moved)
             todo = largest.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
             turn += 1
@@ -339,14 +352,18 @@ class Join:
         least = named.groupBy("root").agg(F.min("rep").alias("component"))
         joined = named.join(least, "root").select("key", "component")
         # written, so that the join can split a class of very many copies
-        ids = written(self.classes.select("key", "rep").join(joined, "key", "left").select("key", F.coalesce("component", "rep").alias("component")), "ids")
+        ids = self.write(self.classes.select("key", "rep").join(joined, "key", "left").select("key", F.coalesce("component", "rep").alias("component")), "ids")
         own = self.rows.select("doc_id", "n", "key")
         return own.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def similar(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, **columns) -> DataFrame:
-    """doc_id, n_shingles, component_id under links of at least num / den."""
-    return Join(docs, width=width, num=num, den=den, **columns).result()
+    """doc_id, n_shingles, component_id under links of at least num / den. The
+    result is written, so that the columns of all texts can go."""
+    join = Join(docs, width=width, num=num, den=den, **columns)
+    found = written(join.result(), "similar")
+    join.close()
+    return found
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
