@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Aggregate
@@ -15,9 +15,10 @@ def group_by(df: DataFrame, keys: Sequence[str] | int, *aggregates: Aggregate, s
     """The keys and one column for each aggregate.
 
     ``hash`` aggregates partially, shuffles and finishes, in no order. ``sort``
-    does the same and sorts the groups. ``stream`` shuffles the rows as they are
-    and finds groups in sorted partitions, one after another, without a hash
-    table: for input that is clustered on the keys already. At least one key is
+    does the same and sorts the groups. ``stream`` finds
+    groups in sorted partitions, one after another, without a hash table, first
+    in each partition as it comes and again after the partial groups have moved:
+    memory doesn't grow with the number of groups. At least one key is
     needed; empty input has no groups. Null keys count as equal. Without aggregates
     the distinct keys are returned.
     """
@@ -30,8 +31,8 @@ def group_by(df: DataFrame, keys: Sequence[str] | int, *aggregates: Aggregate, s
         grouped = df.groupBy(*names).agg(*(a.column() for a in aggregates))
         return grouped.orderBy(*names) if strategy == "sort" else grouped
     if strategy == "stream":
-        group = Window.partitionBy(*names)
-        first = F.row_number().over(group.orderBy(*names))
-        return df.select(*names, *(a.column(group) for a in aggregates), first.alias("__nth")).filter("__nth = 1").drop("__nth")
+        # a buffer that holds text can't be changed in place, so that the planner sorts instead of hashing
+        grouped = df.groupBy(*names).agg(*(a.column() for a in aggregates), F.max(F.lit("")).alias("__text"))
+        return grouped.filter(F.col("__text").isNotNull()).drop("__text")
     raise ValueError(f"unknown strategy {strategy!r}")
 

@@ -3,8 +3,10 @@
 A coded row has ``offset``, the number of leading keys equal to its
 predecessor's, and ``value``, its own key at that place (null for duplicates).
 The first row has offset 0. Codes are derived for a DataFrame of any size: rows
-are cut into ranges, coded range by range, and the first row of each range is
-coded against the last one of the nearest range before it that has rows.
+are cut into ranges and sorted, each partition is coded as it streams by, and the
+first row of each range is coded against the last one of the nearest range before
+it that has rows. Input columns named ``part``, ``offset``, ``value`` or ``code``
+give way to those of the result and can't be keys.
 
 ``code`` is (keys - offset, value): of two rows coded against the same base, the
 one with the greater code sorts later, and the greatest code of dropped rows and
@@ -15,11 +17,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.aggregates import Aggregate
 from ..storage import written
-from .keys import key_list
+from .adjacent import compare, rows_before
+from .keys import Split, key_list
 
 VALUE_BITS, ARITY = 25, 32
 
@@ -36,27 +43,53 @@ def _key_struct(keys: Sequence[str]) -> Column:
     return F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
 
 
-def derive(df: DataFrame, keys: Sequence[str] | int | None = None, *, tiebreak: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """``df`` with ``part`` (its range), ``offset``, ``value`` and ``code``.
-    ``tiebreak`` columns order rows with equal keys without being coded."""
+def _offsets(names: list[str]):
+    def run(batches):
+        for batch, own, before, first in rows_before(batches, names):
+            same, offset = np.ones(batch.num_rows, bool), np.zeros(batch.num_rows, np.int32)
+            for x, y in zip(before, own):
+                same &= compare(x, y)[0]
+                offset += same
+            unknown = np.zeros(batch.num_rows, bool)
+            unknown[0] = first
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offset, mask=unknown)], [*batch.schema.names, "__streamed"])
+
+    return run
+
+
+def applied(df: DataFrame, keys: Sequence[str] | int | None = None) -> DataFrame:
+    """``derive`` for input that is sorted on the keys as it lies, from partition
+    to partition: no shuffle and no sort. The order isn't checked."""
     names = key_list(df, keys)
-    order = [*names, *tiebreak]
-    ranged = df.repartitionByRange(partitions, *names) if partitions else df.repartitionByRange(*names)
+    if taken := {"part", "offset", "value", "code"} & set(names):
+        raise ValueError(f"keys named as columns of the result: {sorted(taken)}")
+    own = df.drop("part", "offset", "value", "code").withColumn("part", F.spark_partition_id())
+    shape = StructType([*own.schema, StructField("__streamed", IntegerType())])
     # written: ranges are found by sampling, so they must not be made twice
-    placed = written(ranged.withColumn("part", F.spark_partition_id()), "ranges")
+    placed = written(own.mapInArrow(_offsets(names), shape), "ranges")
     lasts = placed.groupBy("part").agg(F.max(_key_struct(names)).alias("last"))
     # one row for each range: their number doesn't grow with the rows
-    before = lasts.select((F.row_number().over(Window.orderBy("part")) + 1).alias("nth"), F.col("last").alias("__carried"))
-    nth = lasts.select("part", F.row_number().over(Window.orderBy("part")).alias("nth"))
-    carried = nth.join(before, "nth", "left").select("part", "__carried")
-    within = Window.partitionBy("part").orderBy(*order)
-    lagged = placed.withColumn("__before", F.lag(_key_struct(names)).over(within)).join(F.broadcast(carried), "part")
-    based = lagged.withColumn("__base", F.coalesce("__before", "__carried")).withColumn("offset", _first_difference(names, "__base"))
+    carried = lasts.select("part", F.lag("last").over(Window.orderBy("part")).alias("__carried"))
+    offset = F.coalesce("__streamed", _first_difference(names, "__carried"))
+    based = placed.join(F.broadcast(carried), "part").withColumn("offset", offset)
+    return _with_code(based, names).drop("__streamed", "__carried")
+
+
+def _with_code(based: DataFrame, names: Sequence[str]) -> DataFrame:
     value = F.lit(None)
     for i in range(len(names) - 1, -1, -1):
         value = F.when(F.col("offset") == i, F.col(names[i])).otherwise(value)
-    coded = based.withColumn("value", value).drop("__before", "__carried", "__base")
-    return coded.withColumn("code", F.struct((F.lit(len(names)) - F.col("offset")).alias("left"), F.col("value")))
+    return based.withColumn("value", value).withColumn("code", F.struct((F.lit(len(names)) - F.col("offset")).alias("left"), F.col("value")))
+
+
+def derive(df: DataFrame, keys: Sequence[str] | int | None = None, *, tiebreak: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` with ``part`` (its range), ``offset``, ``value`` and ``code``.
+    ``tiebreak`` columns order rows with equal keys without being coded; with
+    them, rows of one frequent key may lie in several ranges."""
+    names = key_list(df, keys)
+    order = [*names, *tiebreak]
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return applied(ranged.sortWithinPartitions(*order), names)
 
 
 def packed(arity: int = ARITY) -> Column:
@@ -98,6 +131,56 @@ def boundaries(coded: DataFrame, n: int) -> DataFrame:
     return coded.filter(F.col("offset") < n)
 
 
+def semi(coded: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], keys: Sequence[str], *, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Left semi join of coded rows on (left, right) names, its result coded by
+    repair. Null keys match nothing."""
+    theirs = right.select(*(F.col(r).alias(f"__r{i}") for i, (_, r) in enumerate(on))).distinct().withColumn("__met", F.lit(True))
+    condition = None
+    for i, (k, _) in enumerate(on):
+        equal = coded[k] == theirs[f"__r{i}"]
+        condition = equal if condition is None else condition & equal
+    flagged = coded.join(theirs, condition, "left").drop(*(f"__r{i}" for i in range(len(on))))
+    return repaired(flagged, F.col("__met"), keys, tiebreak=tiebreak).drop("__met")
+
+
+def _numbered(coded: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """Coded rows with the number of their group on the first ``n`` keys in
+    ``__group``, and the offset of the group's first row in ``__head``, both from
+    the codes alone. Groups may go on over several ranges."""
+    starts = F.col("offset") < n
+    latest = F.max(F.when(starts, F.struct(_key_struct(order).alias("at"), "offset")))
+    ranges = coded.groupBy("part").agg(F.sum(starts.cast("long")).alias("__n"), latest["offset"].alias("__latest"))
+    # one row for each range
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select("part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"), F.last("__latest", True).over(earlier).alias("__latest"))
+    upto = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = coded.withColumn("__own", F.sum(starts.cast("long")).over(upto)).withColumn("__head", F.last(F.when(starts, F.col("offset")), True).over(upto))
+    whole = own.join(F.broadcast(before), "part").withColumn("__group", F.col("__own") + F.col("__n")).withColumn("__head", F.coalesce("__head", "__latest"))
+    return whole.drop("__own", "__n", "__latest")
+
+
+def group_by(coded: DataFrame, keys: Sequence[str], n: int, *aggregates: Aggregate, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Groups on the first ``n`` of the coded keys, found by their codes: a row
+    with offset < n starts one, and keys are compared no more. Aggregates are
+    partial in each partition before groups of several ranges meet."""
+    if not 0 < n <= len(keys):
+        raise ValueError(f"{n} of {len(keys)} keys")
+    numbered = _numbered(coded, n, [*keys, *tiebreak])
+    grouped = numbered.groupBy("__group").agg(*(F.first(k).alias(f"__k{i}") for i, k in enumerate(keys[:n])), *(a.column() for a in aggregates)).drop("__group")
+    return grouped.withColumnsRenamed({f"__k{i}": k for i, k in enumerate(keys[:n])})
+
+
+def resort(coded: DataFrame, split: Split, *, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Rows coded on A, B, C, sorted and coded anew on A, C, B. Segments come from
+    the codes: A is compared no more, and the first row of a segment keeps the
+    offset that the segment's first row had."""
+    a, rest = len(split.a), [*split.c, *split.b]
+    numbered = _numbered(coded, a, [*split.abc, *tiebreak])
+    again = derive(numbered, ["__group", *rest], tiebreak=tiebreak)
+    offset = F.when(F.col("offset") == 0, F.col("__head")).otherwise(F.col("offset") - 1 + a)
+    return _with_code(again.withColumn("offset", offset), split.acb).drop("__group", "__head")
+
+
 def truncation_cost(coded: DataFrame, keys: Sequence[str]) -> DataFrame:
     """column_comparisons: keys looked at to code each row but the first."""
     n = len(keys)

@@ -8,8 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .keys import Split, key_list
 
+#: Bits of ``monotonically_increasing_id`` that count rows within a partition.
+_ROW_BITS = 33
+
 
 def sort(df: DataFrame, keys: Sequence[str] | int | None = None) -> DataFrame:
     """Sorted on all columns, a prefix or a list."""
@@ -21,6 +25,19 @@ def sort_run(df: DataFrame, keys: Sequence[str] | int | None = None) -> DataFram
     return df.sortWithinPartitions(*key_list(df, keys))
 
 
+def placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """Rows with their place, from 1, as they lie: partition after partition and
+    row after row. Written once, since sampled ranges must not be made twice; the
+    sizes of partitions (one row each) are broadcast."""
+    own = written(df.withColumn("__id", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("__id", _ROW_BITS)
+    sizes = own.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    joined = own.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return joined.withColumn(name, F.col("__before") + within + 1).drop("__id", "__part", "__before")
+
+
 def sort_distinct(df: DataFrame, keys: Sequence[str] | int | None = None) -> DataFrame:
     """Sorted, one row for each key. With all columns as key, duplicates are
     removed before the shuffle; else the row that is least on all columns stays."""

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import Avg, Count, Max, Min, Sum
-from .operators import checks, codes, joins, reshape
+from .operators import checks, codes, joins, metrics, reshape
 from .operators.aggregate import group_by
 from .operators.distinct import distinct, duplicates
 from .operators.keys import Split
-from .operators.sort import resort, segment_counts, sort, sort_distinct, sort_run
+from .operators.sort import placed, resort, segment_counts, sort, sort_distinct, sort_run
 from .plans import bushy, intersect_distinct, join_then_group, left_deep, right_deep
 from .sources import generate, runfile
 from .storage import shared_path
@@ -77,17 +77,7 @@ def partition_rows(spark, d):
     return reshape.hash_partition(_table(spark, d, "customer", "c_custkey", "c_nationkey"), 16, "c_nationkey")
 
 
-# --- sorts: the place of each row, counted where the sort has put it
-
-
-def _placed(sorted_rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with their place. Places within a range come from its order, and
-    those of ranges from their sizes (one row a range)."""
-    numbered = codes.derive(sorted_rows, order).drop("offset", "value", "code")
-    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return numbered.withColumn("own", own).join(F.broadcast(before), "part").withColumn("place", F.col("own") + F.col("before")).drop("part", "own", "before")
+# --- sorts: the place of each row, counted as the sort has laid it
 
 
 _SORT_SQL = "SELECT o_custkey, o_totalprice, o_orderkey, row_number() OVER (ORDER BY {}) AS place FROM orders"
@@ -96,20 +86,20 @@ _SORT_SQL = "SELECT o_custkey, o_totalprice, o_orderkey, row_number() OVER (ORDE
 @_query(_SORT_SQL.format("o_custkey, o_totalprice, o_orderkey"))
 def sort_full(spark, d):
     rows = _table(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderkey")
-    return _placed(sort(rows), rows.columns)
+    return placed(sort(rows))
 
 
 @_query("SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders")
 def sort_prefix(spark, d):
     rows = _table(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice")
-    return _placed(sort(rows, 2), rows.columns[:2])
+    return placed(sort(rows, 2))
 
 
 @_query("SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus, o_orderkey) AS place FROM orders")
 def sort_list(spark, d):
     rows = _table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
     order = ["o_orderpriority", "o_orderstatus", "o_orderkey"]
-    return _placed(sort(rows, order), order)
+    return placed(sort(rows, order))
 
 
 @_query("SELECT count(*) AS rows, 0::BIGINT AS violations FROM orders")
@@ -128,7 +118,7 @@ _LINES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 @_query("SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS place FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)", name="sort_distinct_places")
 def _sort_distinct(spark, d):
     rows = _table(spark, d, "lineitem", "l_orderkey", "l_linenumber")
-    return _placed(sort_distinct(rows), rows.columns)
+    return placed(sort_distinct(rows))
 
 
 @_query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey", name="sort_distinct_prefix")
@@ -152,8 +142,9 @@ for _strategy in ("segmented", "unsegmented", "runs_ignored"):
 @_query(_SEGMENT_SQL)
 def resort_places(spark, d):
     rows = group_by(_table(spark, d, "lineitem", *_SPLIT.abc), _SPLIT.abc, Count("n"))
-    again = resort(rows, _SPLIT)
-    return again.withColumn("place", F.row_number().over(Window.partitionBy(*_SPLIT.a).orderBy(*_SPLIT.c, *_SPLIT.b)))
+    again = placed(resort(rows, _SPLIT), "__at")
+    first = F.min("__at").over(Window.partitionBy(*_SPLIT.a))
+    return again.withColumn("place", F.col("__at") - first + 1).drop("__at")
 
 
 @_query("SELECT count(DISTINCT l_suppkey) AS segments, count(DISTINCT (l_suppkey, l_orderkey)) AS runs FROM lineitem")
@@ -262,13 +253,13 @@ def _intersect_distinct(spark, d):
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
-def _codes_sql(table: str, columns: str = "") -> str:
+def _codes_sql(table: str, keys: list[str] = _KEYS, tie: str = ", l_suppkey") -> str:
     """Offset and value of each row against the one before, by lag."""
-    lags = ", ".join(f"lag({k}) OVER w AS b{i}" for i, k in enumerate(_KEYS))
-    offset = "CASE WHEN nth = 1 " + " ".join(f"OR {k} IS DISTINCT FROM b{i} THEN {i} WHEN FALSE" if i == 0 else f"WHEN {k} IS DISTINCT FROM b{i} THEN {i}" for i, k in enumerate(_KEYS)).replace("WHEN FALSE WHEN", "WHEN") + f" ELSE {len(_KEYS)} END"
-    order = ", ".join(_KEYS)
-    return f"""SELECT *, CASE "offset" WHEN 0 THEN l_orderkey WHEN 1 THEN l_linenumber WHEN 2 THEN l_partkey END AS "value" FROM (
-SELECT {order}{columns}, {offset} AS "offset" FROM (SELECT *, row_number() OVER w AS nth, {lags} FROM {table} WINDOW w AS (ORDER BY {order}, l_suppkey)))"""
+    lags = ", ".join(f"lag({k}) OVER w AS b{i}" for i, k in enumerate(keys))
+    offset = f"CASE WHEN nth = 1 OR {keys[0]} IS DISTINCT FROM b0 THEN 0 " + " ".join(f"WHEN {k} IS DISTINCT FROM b{i} THEN {i}" for i, k in enumerate(keys) if i) + f" ELSE {len(keys)} END"
+    order, values = ", ".join(keys), " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(keys))
+    return f"""SELECT *, CASE "offset" {values} END AS "value" FROM (
+SELECT {order}, {offset} AS "offset" FROM (SELECT *, row_number() OVER w AS nth, {lags} FROM {table} WINDOW w AS (ORDER BY {order}{tie})))"""
 
 
 _ROWS = "(SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey FROM lineitem)"
@@ -285,6 +276,23 @@ def codes_derive(spark, d):
     return _coded(spark, d).select(*_KEYS, "offset", "value")
 
 
+@_query(_PICK.format(_codes_sql(_ROWS)))
+def codes_applied(spark, d):
+    rows = _table(spark, d, "lineitem", *_KEYS, "l_suppkey").withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
+    return codes.applied(sort(rows, [*_KEYS, "l_suppkey"]), _KEYS).select(*_KEYS, "offset", "value")
+
+
+@_query('SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey, "offset", "value" FROM (' + _codes_sql(_ROWS, _SPLIT.acb, "") + ")")
+def codes_resort(spark, d):
+    rows = _table(spark, d, "lineitem", *_SPLIT.abc).withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
+    return codes.resort(codes.derive(rows, _SPLIT.abc), _SPLIT).select(*_SPLIT.acb, "offset", "value")
+
+
+@_query("SELECT l_orderkey, l_linenumber, count(*) AS count, CAST(sum(l_partkey) AS BIGINT) AS sum, max(l_suppkey) AS max FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def groupby_codes(spark, d):
+    return codes.group_by(_coded(spark, d), _KEYS, 2, Count(), Sum("l_partkey"), Max("l_suppkey"), tiebreak=["l_suppkey"])
+
+
 @_query('SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN "offset" = 3 THEN 0 ELSE ((32 - "offset")::BIGINT << 25) | "value" END AS packed FROM (' + _codes_sql(_ROWS) + ")")
 def codes_packed(spark, d):
     return _coded(spark, d).select(*_KEYS, codes.packed().alias("packed"))
@@ -297,10 +305,8 @@ def codes_after_filter(spark, d):
 
 @_query(_PICK.format(_codes_sql("(SELECT * FROM " + _ROWS + " WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))")))
 def codes_after_semi(spark, d):
-    open_orders = _table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"), F.lit(True).alias("matched")).distinct()
-    coded = _coded(spark, d)
-    flagged = coded.join(open_orders, coded["l_orderkey"] == open_orders["key"], "left").drop("key")
-    return codes.repaired(flagged, F.col("matched"), _KEYS, tiebreak=["l_suppkey"]).select(*_KEYS, "offset", "value")
+    open_orders = _table(spark, d, "orders").filter("o_orderstatus = 'F'")
+    return codes.semi(_coded(spark, d), open_orders, [("l_orderkey", "o_orderkey")], _KEYS, tiebreak=["l_suppkey"]).select(*_KEYS, "offset", "value")
 
 
 @_query(_PICK.format(_codes_sql("(SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, 0 AS l_suppkey FROM lineitem)")))
@@ -332,6 +338,17 @@ def check_equal(spark, d):
     return checks.differences(rows, sort(rows))
 
 
+@_query("SELECT 0::BIGINT AS violations")
+def check_positions(spark, d):
+    rows = _table(spark, d, "orders", "o_custkey", "o_orderkey")
+    return checks.position_differences(sort(rows), resort(rows, Split(("o_custkey",), (), ("o_orderkey",))))
+
+
+@_query("SELECT count(*) AS rows, count(*) AS rows_written, count(*) AS rows_read FROM orders")
+def sort_metrics(spark, d):
+    return metrics.run_metrics(sort(_table(spark, d, "orders", "o_custkey", "o_orderkey"))).select("rows", "rows_written", "rows_read")
+
+
 @_query("SELECT count(*) AS rows, 0::BIGINT AS violations FROM orders")
 def check_sorted_unique(spark, d):
     return checks.order_violations(sort(_table(spark, d, "orders", "o_orderkey")), strict=True)

@@ -10,10 +10,11 @@ from ordinate.operators import checks, codes, joins, metrics, reshape
 from ordinate.operators.aggregate import group_by
 from ordinate.operators.distinct import counted, distinct, duplicates
 from ordinate.operators.keys import Split, key_list, prefix
-from ordinate.operators.sort import resort, segment_counts, sort, sort_distinct, sort_run
+from ordinate.operators.sort import placed, resort, segment_counts, sort, sort_distinct, sort_run
 from ordinate.plans import intersect_distinct, join_then_group
 from ordinate.sources import generate
 from ordinate.sources.tables import literal, replayable
+from ordinate.storage import written
 
 STRATEGIES = ("hash", "stream", "sort")
 
@@ -194,7 +195,8 @@ def test_codes_null_first_row_and_empty(spark):
 def test_maximum_rule(spark, partitions, share):
     random.seed(5)
     keys = ["c0", "c1", "c2"]
-    df = uniform(spark, 600, 3, 5).withColumn("id", F.monotonically_increasing_id()).localCheckpoint()
+    df = uniform(spark, 600, 3, 5).withColumn("id", F.monotonically_increasing_id())
+    df = written(df, "ids")
     kept = F.pmod(F.xxhash64("id"), F.lit(1000)) < int(share * 1000)
     coded = codes.derive(df, keys, tiebreak=["id"], partitions=partitions)
     repaired = of_codes(codes.repaired(coded, kept, keys, tiebreak=["id"]).select(*keys, "offset", "value"))
@@ -223,7 +225,96 @@ def test_code_laws(spark):
     assert all(a_c[k] in (o, o - 1, 2) for k, o in a_b_c.items())
 
 
+def with_gaps(spark, n=400):
+    """Rows with nulls, repeated rows and few values."""
+    return uniform(spark, n, 3, 5).select(*(F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("c0", "c1", "c2")))
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_codes_of_sorted_input_need_no_shuffle(spark, partitions):
+    df, keys = with_gaps(spark), ["c0", "c1", "c2"]
+    ordered = written(sort(df.repartition(partitions)), "ordered")
+    found = of_codes(codes.applied(sort(ordered), keys).select(*keys, "offset", "value"))
+    assert sorted(found, key=str) == sorted(of_codes(codes.derive(df, keys, partitions=5).select(*keys, "offset", "value")), key=str)
+    assert codes.applied(ordered.limit(0), keys).count() == 0
+    with pytest.raises(ValueError):
+        codes.applied(df.withColumnRenamed("c0", "offset"), 2)
+
+
+def test_one_frequent_key_lies_in_several_ranges(spark):
+    df = spark.range(2000).select(F.lit(7).alias("a"), F.col("id").alias("b"))
+    coded = codes.derive(df, ["a"], tiebreak=["b"], partitions=4)
+    assert coded.select("part").distinct().count() == 4
+    assert coded.filter("offset = 0").count() == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_groups_of_codes(spark, n, partitions):
+    df, keys = with_gaps(spark), ["c0", "c1", "c2"]
+    coded = codes.derive(df, keys, partitions=partitions)
+    found = rows(codes.group_by(coded, keys, n, Count(), Sum("c2"), Avg("c1"), Max("c2")))
+    assert sorted(found, key=str) == sorted(rows(group_by(df, n, Count(), Sum("c2"), Avg("c1"), Max("c2"))), key=str)
+    assert rows(codes.group_by(coded.limit(0), keys, n, Count())) == []
+    with pytest.raises(ValueError):
+        codes.group_by(coded, keys, 0, Count())
+
+
+@pytest.mark.parametrize("split", [Split(("c0",), ("c1",), ("c2",)), Split(("c0", "c1"), ("c2",)), Split(("c0",), (), ("c1", "c2"))])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_codes_of_another_order(spark, split, partitions):
+    df = with_gaps(spark)
+    again = codes.resort(codes.derive(df, split.abc, partitions=partitions), split)
+    expected = codes.derive(df, split.acb)
+    assert sorted(of_codes(again.select(*split.acb, "offset", "value", "code")), key=str) == sorted(of_codes(expected.select(*split.acb, "offset", "value", "code")), key=str)
+    assert codes.resort(codes.derive(df.limit(0), split.abc), split).count() == 0
+
+
+def test_semi_join_of_codes(spark):
+    df, keys = with_gaps(spark), ["c0", "c1", "c2"]
+    right = spark.createDataFrame([(1, 2), (1, 2), (3, 4), (None, 1), (2, None)], "a long, b long")
+    on = [("c0", "a"), ("c1", "b")]
+    found = codes.semi(codes.derive(df, keys, partitions=5), right, on, keys)
+    expected = codes.derive(joins.left_semi(df, right, on), keys)
+    assert sorted(of_codes(found.select(*keys, "offset", "value")), key=str) == sorted(of_codes(expected.select(*keys, "offset", "value")), key=str)
+
+
+def test_order_of_nulls_and_nan(spark):
+    df = spark.createDataFrame([(None,), (None,), (-1.0,), (0.5,), (float("nan"),), (float("nan"),)], "x double").coalesce(1)
+    assert checks.order_violations(df).first() == (6, 0)
+    assert checks.order_violations(df, strict=True).first() == (6, 2)
+    back = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double").coalesce(1)
+    assert checks.order_violations(back).first() == (3, 2)
+    text = spark.createDataFrame([("b", [1]), ("b", [0]), ("a", None)], "s string, l array<int>").coalesce(1)
+    assert checks.order_violations(text).first() == (3, 2)
+    coded = codes.derive(df, ["x"])
+    assert sorted(r.offset for r in coded.collect()) == [0, 0, 0, 0, 1, 1]
+
+
+def test_streamed_groups_sort_and_partial_groups_move(spark):
+    nodes = metrics.plan_nodes(group_by(uniform(spark, 100), 2, Count(), strategy="stream"))
+    assert nodes.count("SortAggregate") == 2 and nodes.count("Exchange") == 1 and "HashAggregate" not in nodes
+
+
+def test_places_are_of_rows_as_they_lie(spark):
+    df = uniform(spark, 1000)
+    assert [r[:-1] for r in sorted(rows(placed(sort(df))), key=lambda r: r[-1])] == sorted(rows(df))
+    back = df.orderBy(*(F.desc(c) for c in df.columns))
+    assert [r[:-1] for r in sorted(rows(placed(back)), key=lambda r: r[-1])] == sorted(rows(df), reverse=True)
+    assert placed(df.limit(0)).count() == 0
+
+
+def test_run_metrics(spark):
+    found = metrics.run_metrics(sort(uniform(spark, 1000))).first()
+    assert (found.rows, found.rows_written, found.rows_read) == (1000, 1000, 1000) and found.bytes_written > 0
+    assert metrics.run_metrics(uniform(spark, 10)).first() == (10, 0, 0, 0, 0)
+    assert metrics.columns_hashed(10, 3) == 30
+
+
 def test_equality(spark):
+    unsorted = spark.createDataFrame([(2,), (1,), (None,)], "a long").coalesce(1)
+    assert checks.position_differences(unsorted, sort(unsorted)).first()[0] == 2
+    assert checks.is_equal(unsorted, unsorted) and not checks.is_equal(unsorted, sort(unsorted))
     df = sort(uniform(spark, 200))
     assert checks.is_equal(df, df)
     assert not checks.is_equal(df, df.limit(199))
