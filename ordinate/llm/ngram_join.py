@@ -20,17 +20,19 @@ have, and a column of a template that very many classes share makes no pairs of
 those that differ enough elsewhere.
 
 Large groups. Pairs within a column's group aren't all formed: each class first
-meets one class of its group; what links then is one component, and after that
+meets one class of its group, the one nearest to what all share; what links then is one component, and after that
 only classes outside the group's largest component meet others. If that is still
 much more than the entries, they first meet another one, up to ``TURNS`` times.
 No link between components can be lost.
 
 Product. A parity bitmap of each class, whose Hamming distance never exceeds the
-number of columns that differ, discards candidates first. For the others, columns
-are cut into blocks (ranges of hashes of about ``RANGE`` columns) and overlaps are
-counted block by block and summed for each pair: the first block alone drops
-pairs that the remaining columns can't lift to the bound. No row ever holds more
-than one block of two classes.
+number of columns that differ, discards candidates first; of classes with more
+columns than its bits, a sketch with a bit for each column does so again. For the
+others, columns are made of their texts again (``docs`` must give the same rows
+each time: only columns put forward at first are kept) and cut into blocks (ranges
+of hashes of about ``RANGE`` columns), and overlaps are counted block by block and
+summed for each pair: the first block alone drops pairs that the remaining columns
+can't lift to the bound. No row ever holds more than one block of two classes.
 
 What stays quadratic: classes that have hardly any column which fewer than
 ``HOT`` classes share, that share such columns in the earlier half of their
@@ -104,10 +106,22 @@ def class_key(columns: bytes) -> int:
     return xxhash.xxh3_64_intdigest(columns) - (1 << 63)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of columns that fall on each of the bits: a power
+    of two, at least one for each column and those of a bitmap."""
+    size = max(BITMAP * 64, 1 << max(0, len(h) - 1).bit_length())
+    bits = np.bincount((mixed(h ^ _B) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def folded(of: np.ndarray) -> np.ndarray:
+    """A sketch, folded to ``BITMAP`` longs."""
+    return np.bitwise_xor.reduce(of.reshape(-1, BITMAP), axis=0)
+
+
 def bitmap(h: np.ndarray) -> np.ndarray:
     """Parities of the numbers of columns that fall on each of the bits."""
-    bits = np.bincount((mixed(h ^ _B) % np.uint64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return folded(sketch(h))
 
 
 class Bounds:
@@ -124,6 +138,10 @@ class Bounds:
         """In how many of its first columns a class of size n meets all linked ones."""
         return n - -(-self.num * n // self.den) + 1
 
+    def first(self, n: int) -> int:
+        """How many columns a class of size n puts forward at first."""
+        return min(n, self.prefix(n) + self.prefix(n) // 4 + SPARE)
+
     def prefix_sql(self) -> str:
         return f"(n - (({self.num} * n + {self.den - 1}) div {self.den}) + 1)"
 
@@ -143,31 +161,66 @@ class Bounds:
         apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(BITMAP))
         return f"{apart} <= na + nb - 2 * {self.needed_sql()}"
 
+    def alike_sql(self) -> str:
+        """Whether sketches ``sa`` and ``sb`` allow a link; the longer one is folded."""
+        halved = (f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})" for x, y in (("sa", "sb"), ("sb", "sa")))
+        apart = f"aggregate(zip_with({next(halved)}, {next(halved)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+        return f"(greatest(size(sa), size(sb)) > 2 * least(size(sa), size(sb)) OR {apart} <= na + nb - 2 * {self.needed_sql()})"
+
+
+_PASS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("cols", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), *((f"b{i}", pa.int64()) for i in range(BITMAP))])
+
 
-_PASS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("cols", pa.list_(pa.int64())), *((f"b{i}", pa.int64()) for i in range(BITMAP))])
+def _lists(of: list[np.ndarray | None]) -> pa.ListArray:
+    """Longs of each row; rows without any are null."""
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in of)])
+    own = [x.view(np.int64) for x in of if x is not None]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)), mask=pa.array([x is None for x in of], pa.bool_()))
 
 
-def _first_pass(width: int):
-    """Each text's class. Its columns, sorted, come with the first text of the
-    class that a task meets."""
+def _first_pass(width: int, bounds: Bounds):
+    """Each text's class. The columns that it puts forward at first, and the
+    sketch of a class that a bitmap is too small for, come with the first text of
+    the class that a task meets."""
 
     def run(batches):
         met: set[int] = set()
         for batch in sliced(batches, 64):
-            n, key, bits, cols, ends, known = [], [], [], [], [0], []
+            n, key, bits, cols, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = columns_of(text, width)
                 n.append(len(h))
                 key.append(class_key(h.tobytes()))
-                bits.append(bitmap(h))
-                known.append(key[-1] in met or not len(h))
-                if not known[-1]:
+                own = sketch(h)
+                bits.append(folded(own))
+                known = key[-1] in met or not len(h)
+                if not known:
                     met.add(key[-1])
-                    cols.append(h.view(np.int64))
-                ends.append(ends[-1] + (0 if known[-1] else len(h)))
-            columns = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cols) if cols else np.zeros(0, np.int64)), mask=pa.array(known, pa.bool_()))
+                cols.append(None if known else h[: bounds.first(len(h))])
+                sketches.append(None if known or len(own) == BITMAP else own)
             longs = (pa.array(np.ascontiguousarray(b)) for b in np.stack(bits).T)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), columns, *longs], schema=_PASS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), _lists(cols), _lists(sketches), *longs], schema=_PASS)
+        _WORDS.clear()
+
+    return run
+
+
+def _columns(width: int):
+    """All columns of texts (the first column) that are of the class named by the
+    second, once for each task and row of the others."""
+
+    def run(batches):
+        met = set()
+        for batch in sliced(batches, 64):
+            at, cols = [], []
+            for i, (text, *own) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if tuple(own) not in met and class_key((h := columns_of(text, width)).tobytes()) == own[0]:
+                    met.add(tuple(own))
+                    at.append(i)
+                    cols.append(h)
+            if at:
+                names = [*batch.schema.names[1:], "cols"]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[1:]), _lists(cols)], names=names)
         _WORDS.clear()
 
     return run
@@ -201,11 +254,11 @@ class Join:
     """One join: the pass over the texts, the candidates and the product."""
 
     def __init__(self, docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text"):
-        self.bounds, self.frames = Bounds(num, den), []
+        self.bounds, self.width, self.frames = Bounds(num, den), width, []
         own = F.col(id_col).cast("long")
-        texts = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(text_col)).alias("ref"), F.col(text_col).alias("text"))
-        shape = "doc_id long, ref long, n long, key long, cols array<long>, " + ", ".join(f"{b} long" for b in _BITS)
-        self.rows = self.write(texts.mapInArrow(_first_pass(width), shape), "rows")
+        self.texts = texts = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(text_col)).alias("ref"), F.col(text_col).alias("text"))
+        shape = "doc_id long, ref long, n long, key long, cols array<long>, sketch array<long>, " + ", ".join(f"{b} long" for b in _BITS)
+        self.rows = self.write(texts.mapInArrow(_first_pass(width, self.bounds), shape), "rows")
         #: key, rep (least id), ref (of a row with columns), n, bitmap: each class with columns
         firsts = (F.first(c).alias(c) for c in ("n", *_BITS))
         self.classes = self.write(self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("cols").isNotNull(), F.col("ref"))).alias("ref"), *firsts), "classes")
@@ -220,10 +273,11 @@ class Join:
         discard(*self.frames)
 
     def columns(self, wanted: DataFrame) -> DataFrame:
-        """The rows of ``wanted`` (key, ref, ...) and ``cols``; only rows of
-        their refs are shuffled."""
-        cols = self.rows.filter("cols IS NOT NULL").select("ref", F.col("key").alias("__key"), "cols")
-        return narrowed(cols, wanted, "ref").filter("key = __key").drop("__key", "ref")
+        """The rows of ``wanted`` (key, ref, ...) and ``cols``, from texts that
+        are read again; only those of their refs are shuffled."""
+        others = [c for c in wanted.columns if c != "ref"]
+        held = narrowed(self.texts.select("ref", "text"), wanted, "ref").select("text", *others)
+        return held.mapInArrow(_columns(self.width), ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in others) + ", cols array<long>")
 
     def first_sql(self) -> str:
         """How many columns a class of size ``n`` puts forward at first."""
@@ -232,8 +286,7 @@ class Join:
 
     def entries(self) -> DataFrame:
         """key, n, pos, col: what each class puts forward at first."""
-        first = F.expr(f"slice(cols, 1, cast({self.first_sql()} as int))")
-        return self.rows.filter("cols IS NOT NULL").select("key", "n", F.posexplode(first).alias("pos", "col"))
+        return self.rows.filter("cols IS NOT NULL").select("key", "n", F.posexplode("cols").alias("pos", "col"))
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(key, n, pos, col) of columns that several classes put forward, and
@@ -291,8 +344,10 @@ class Join:
         return links
 
     def met_one(self, left: DataFrame, turn: int) -> DataFrame:
-        """Each class of a column's group and one of them."""
-        order = F.struct(~F.col("early"), F.xxhash64("key", F.lit(turn)))
+        """Each class of a column's group and one of them: first that with the
+        fewest columns before this one, as it has hardly any that the others don't
+        share; in later turns any early one."""
+        order = F.struct(F.col("rank") if turn == 0 else (~F.col("early")).cast("long"), F.xxhash64("key", F.lit(turn)))
         hub = left.groupBy("col").agg(F.min_by(F.struct("key", "root", "n", "rank"), order).alias("hub"))
         names = {"root_a": "hub.root", "root_b": "root", "a": "hub.key", "b": "key", "na": "hub.n", "nb": "n", "ra": "hub.rank", "rb": "rank"}
         return left.join(hub, "col").filter("root <> hub.root").select(*(F.col(c).alias(s) for s, c in names.items()))
@@ -317,7 +372,18 @@ class Join:
         met = met.filter(self.bounds.reached_sql()).select("root_a", "root_b", "a", "b", "na", "nb").distinct()
         x, y = (self.classes.select(F.col("key").alias(s), F.col("ref").alias(f"ref_{s}"), *(F.col(b).alias(f"{s}{i}") for i, b in enumerate(_BITS))) for s in "ab")
         cuts = F.expr(f"cast(pow(2, greatest(0, ceil(log2(greatest(na, nb) / {RANGE}.0)))) as int)").alias("cuts")
-        return self.write(met.join(x, "a").join(y, "b").filter(self.bounds.close_sql()).select("root_a", "root_b", "a", "b", "na", "nb", "ref_a", "ref_b", cuts), "pairs")
+        close = met.join(x, "a").join(y, "b").filter(self.bounds.close_sql()).select("root_a", "root_b", "a", "b", "na", "nb", "ref_a", "ref_b", cuts)
+        close = self.write(close, "close")
+        large = f"least(na, nb) > {BITMAP * 64}"
+        sides = (close.filter(large).select(F.col(s).alias("key"), F.col(f"ref_{s}").alias("ref")) for s in "ab")
+        wanted = next(sides).unionByName(next(sides)).distinct()
+        held = self.rows.filter("sketch IS NOT NULL").select("ref", F.col("key").alias("__key"), "sketch")
+        sketches = self.write(narrowed(held, wanted, "ref").filter("key = __key").select("key", "sketch").dropDuplicates(["key"]), "sketches")
+        x, y = (sketches.select(F.col("key").alias(s), F.col("sketch").alias(f"s{s}")) for s in "ab")
+        alike = close.filter(large).join(x, "a").join(y, "b").filter(self.bounds.alike_sql()).select(close.columns)
+        found = self.write(close.filter(f"NOT {large}").unionByName(alike), "pairs")
+        discard(close, sketches)
+        return found
 
     def components(self) -> DataFrame:
         """node, root: the component of each class that links with another."""

@@ -162,3 +162,47 @@ def test_components(spark):
     found = {r.node: r.root for r in components(df).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 103: 100, 105: 100}
     assert components(df.limit(0)).collect() == []
+
+
+def test_sketches_tell_long_texts_apart_and_lose_no_link(spark):
+    rnd, texts = random.Random(11), []
+    shared = [f"s{i}" for i in range(2000)]
+    for i in range(6):
+        # half of the words in common: far under the bound, but beyond what 512 bits can tell
+        texts.append(" ".join(shared + [f"u{i}_{j}" for j in range(2000)]))
+    for size in (700, 1020, 1030, 2040, 2100, 4090, 4150):
+        base = [f"v{size}_{rnd.randrange(10**9)}" for _ in range(size)]
+        texts += [" ".join(base), " ".join(base[: size - size // 12]), " ".join(base[size // 9 :]), " ".join(base + [f"x{j}" for j in range(size // 11)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted(m.similar(df, width=3, num=90, den=100).collect(), key=lambda r: r.doc_id)
+    roots, _ = brute(texts, 3, 90, 100)
+    least = {}
+    for i, r in enumerate(roots):
+        least[r] = min(least.get(r, i), i)
+    assert [r.component_id for r in found] == [least[r] for r in roots]
+    join = m.Join(df, width=3, num=90, den=100)
+    classes = join.classes.select("key", "n", "ref").collect()
+    long = [c for c in classes if c.n > 3900 and c.ref < 6]
+    assert len(long) == 6
+    names = "root_a root_b a b na nb ra rb"
+    met = spark.createDataFrame([(a.key, b.key, a.key, b.key, a.n, b.n, 0, 0) for a in long for b in long if a.key < b.key], ", ".join(f"{x} long" for x in names.split()))
+    assert join.pairs(met).count() == 0
+    assert join.rows.filter("n > 1000 AND 4 * size(cols) > n").isEmpty()
+    join.close()
+
+
+def test_a_group_of_near_copies_first_meets_the_text_they_stem_from(spark):
+    rnd = random.Random(5)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for i in range(300):
+        # two changed words: near the base, yet too far from each other
+        other = list(base)
+        for at in (rnd.randrange(2, 70), rnd.randrange(75, 148)):
+            other[at] = f"c{i}_{at}"
+        texts.append(" ".join(other))
+    texts.append(" ".join(base))
+    join = m.Join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=3, num=90, den=100)
+    left = join.write(join.prefixes().withColumn("root", F.col("key")), "left")
+    links = join.links(join.pairs(join.met_one(left, 0)))
+    assert links.count() >= 295
+    join.close()
