@@ -4,8 +4,8 @@ A first pass sets each line key's bits in a filter of keys seen once and, where
 the bits are set already, in a filter of keys seen twice. The filters of all
 tasks are merged, piece by piece and in two levels: what two tasks have both seen
 once has been seen twice. A second pass sends only those lines on that the second
-filter knows; their exact text is then counted, and the document that keeps them
-is chosen. A filter may suspect too many lines, never too few, so that the result
+filter knows, by the SHA-256 of their keys; these are then counted, and the document
+that keeps them is chosen. A filter may suspect too many lines, never too few, so that the result
 is exact. Only documents that lose a line, and few that a filter of ids mistakes
 for them, are shuffled to meet their lost lines; all others stay where they lie.
 
@@ -20,6 +20,7 @@ proportion to their lines.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import as_batch, large_or_small, screened, sliced, written
+from .common import as_batch, discard, large_or_small, screened, sliced, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,6 +64,10 @@ def line_hash(key: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def key_digest(key: str) -> bytes:
+    return hashlib.sha256(key.encode("utf-8", "surrogatepass")).digest()
+
+
 def bit_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places of each hash in a filter of ``bits`` (a power of two) bits."""
     return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
@@ -123,7 +128,7 @@ def seen_twice(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(rows[i], np.uint8) if i in rows else np.zeros(n, np.uint8) for i, n in enumerate(sizes)])
 
 
-_SUSPECTS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("line", pa.int64()), ("key", pa.string())])
+_SUSPECTS = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("line", pa.int64()), ("key", pa.binary())])
 
 
 def _screen(twice, bits: int, min_chars: int):
@@ -139,7 +144,7 @@ def _screen(twice, bits: int, min_chars: int):
             at = np.flatnonzero(known.has(h))
             if len(at):
                 docs = pa.array(np.array(rows)[at])
-                yield as_batch(_SUSPECTS, batch.column(0).take(docs), batch.column(1).take(docs), h[at].view(np.int64), [keys[i] for i in at])
+                yield as_batch(_SUSPECTS, batch.column(0).take(docs), batch.column(1).take(docs), h[at].view(np.int64), [key_digest(keys[i]) for i in at])
 
     return run
 
@@ -153,17 +158,17 @@ def _ref(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
 
 
-def repeated_lines(docs: DataFrame, *, min_docs: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, ref, line (the key's hash), keeper: documents that lose a
-    line, and who keeps it."""
+def repeated_lines(docs: DataFrame, *, min_docs: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """key (its digest), doc_id, ref, line (the key's hash), keeper: documents that
+    lose a line, and who keeps it; and what that is read from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _ref(id_col, text_col).alias("ref"), F.col(text_col).alias("text"))
     bits = filter_bits(rows.count())
     twice = spark.sparkContext.broadcast(seen_twice(rows.select("text"), bits, min_chars))
-    suspects = written(rows.mapInArrow(_screen(twice, bits, min_chars), "doc_id long, ref long, line long, key string"), "suspects")
+    suspects = written(rows.mapInArrow(_screen(twice, bits, min_chars), "doc_id long, ref long, line long, key binary"), "suspects")
     # written, so that the join below can split a key that very many documents hold
     confirmed = written(suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).select("key", "keeper"), "confirmed")
-    return suspects.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return suspects.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))), [suspects, confirmed]
 
 
 def _without(at: int, names: list[str]):
@@ -188,8 +193,9 @@ def _without(at: int, names: list[str]):
 def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """All columns of ``docs``, the text without lines that its document loses,
     and ``lines_col`` (before) and ``dropped_col``, which replace columns so named."""
-    lost = repeated_lines(docs, min_docs=min_docs, min_chars=min_chars, id_col=id_col, text_col=text_col)
+    lost, read = repeated_lines(docs, min_docs=min_docs, min_chars=min_chars, id_col=id_col, text_col=text_col)
     drops = written(lost.groupBy(F.col("doc_id").isNull().alias("__none"), F.col("ref").alias("__ref")).agg(F.collect_set("line").alias("__lost")), "drops")
+    discard(*read)
     own = docs.drop(lines_col, dropped_col)
     names = [*own.columns, lines_col, dropped_col]
     seen = screened(own.withColumns({"__none": F.col(id_col).isNull(), "__ref": _ref(id_col, text_col)}), drops.select("__ref"), "__ref")

@@ -73,6 +73,20 @@ def test_crowded_filters_stay_exact(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found.collect()), key=str) == sorted(brute(made(), 3, 8), key=str)
 
 
+def test_digests_are_shuffled_and_suspects_go(spark):
+    from ordinate import storage
+
+    line = "a line that is much longer than its digest " * 50
+    df = spark.createDataFrame([(i, f"{line}\n{i}") for i in range(6)], "doc_id long, text string")
+    lost, read = m.repeated_lines(df, min_docs=5, min_chars=40)
+    assert {(len(r.key), r.keeper) for r in lost.collect()} == {(32, 5)} and lost.count() == 5
+    m.discard(*read)
+    before = set(storage._GIVEN)
+    found = m.drop_repeated_lines(df)
+    assert len(set(storage._GIVEN) - before) == 1
+    assert {(r.doc_id, r.text) for r in found.collect()} == {(i, f"{line}\n{i}" if i == 5 else str(i)) for i in range(6)}
+
+
 def test_query(spark, sf_dir):
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{os.path.join(sf_dir, 'documents.parquet')}'")
