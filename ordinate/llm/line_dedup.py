@@ -30,7 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import as_batch, discard, large_or_small, screened, sliced, written
 
@@ -171,13 +171,32 @@ def repeated_lines(docs: DataFrame, *, min_docs: int, min_chars: int, id_col: st
     return suspects.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))), [suspects, confirmed]
 
 
+#: Level at which texts are packed that are shuffled.
+LEVEL = 3
+
+
+def _packed(at: int):
+    """Texts (column ``at``) packed, each by itself."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(LEVEL)
+        for batch in sliced(batches, 256):
+            columns = [large_or_small(c) for c in batch.columns]
+            columns[at] = pa.array([None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return run
+
+
 def _without(at: int, names: list[str]):
-    """Texts (column ``at``) without the lines whose hashes the last column holds."""
+    """Packed texts (column ``at``), unpacked and without the lines whose hashes
+    the last column holds."""
 
     def run(batches):
         for batch in sliced(batches, 256):
             texts, counts, dropped = [], [], []
-            for text, lost in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for packed, lost in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                text = None if packed is None else zstandard.decompress(packed).decode("utf-8", "surrogatepass")
                 lines, own = (text or "").split("\n"), set(lost or ())
                 kept = [x for x in lines if not own or line_hash(key_of(x)) not in own]
                 texts.append(text if len(kept) == len(lines) else "\n".join(kept))
@@ -202,8 +221,12 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 5, min_chars: int =
     n_lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long")
     whole = seen.filter("NOT __maybe").select(*own.columns, n_lines.alias(lines_col), F.lit(0).cast("long").alias(dropped_col))
     shape = StructType([*own.schema.fields, StructField(lines_col, LongType()), StructField(dropped_col, LongType())])
-    maybe = seen.filter("__maybe").join(drops, ["__none", "__ref"], "left").select(*own.columns, "__lost")
-    return whole.unionByName(maybe.mapInArrow(_without(own.columns.index(text_col), names), shape))
+    at = own.columns.index(text_col)
+    met = seen.filter("__maybe").drop("__maybe")
+    # texts are most of what is shuffled
+    packed = StructType([StructField(f.name, BinaryType()) if i == at else f for i, f in enumerate(met.schema.fields)])
+    maybe = met.mapInArrow(_packed(at), packed).join(drops, ["__none", "__ref"], "left").select(*own.columns, "__lost")
+    return whole.unionByName(maybe.mapInArrow(_without(at, names), shape))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,13 @@ def test_digests_are_shuffled_and_suspects_go(spark):
     assert {(r.doc_id, r.text) for r in found.collect()} == {(i, f"{line}\n{i}" if i == 5 else str(i)) for i in range(6)}
 
 
+def test_texts_that_meet_their_lost_lines_are_packed(spark):
+    text = "the same words over and over " * 200
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in df.mapInArrow(m._packed(1), "doc_id long, text binary").collect()}
+    assert rows[2] is None and len(rows[1]) < len(text) // 20 and m.zstandard.decompress(bytes(rows[3])) == b""
+
+
 def test_query(spark, sf_dir):
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{os.path.join(sf_dir, 'documents.parquet')}'")
